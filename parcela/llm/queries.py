@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcela.llm.mixing import op4_mixing
 from parcela.llm.packing import op7_packing
+from parcela.llm.quality_classifier import op9_quality_classifier
+from parcela.llm.quality_rules import op10_quality_rules
 from parcela.llm.sharding import op1_sharding
+from parcela.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op4_mixing": op4_mixing,
     "op7_packing": op7_packing,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
