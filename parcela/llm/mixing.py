@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import durable, n_words, table, text_crc32, with_ranks
+from parcela.llm.common import durable, free_name, n_words, table, text_crc32, with_ranks
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -114,6 +114,24 @@ def mix_plan(docs: DataFrame, seed: int = 11) -> DataFrame:
     return each.select("doc_id", "text_crc32", "source", "size", "source_size", "target", times.alias("times"))
 
 
+def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """The documents of the mix, each row as often as it is taken, with their columns as they were.
+
+    Rows are found again by doc_id, source and checksum; rows equal in these are one row, taken as often as all of them.
+    """
+    taken = mix_plan(docs, seed).groupBy("doc_id", "source", "text_crc32").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 0")
+    taken = durable(taken)
+    names = {c: free_name(docs, f"_{c}") for c in taken.columns}
+    right = taken.withColumnsRenamed(names)
+    same = [F.col("doc_id").cast("long").eqNullSafe(F.col(names["doc_id"])), F.col("source").cast("string").eqNullSafe(F.col(names["source"])), text_crc32(F.col("text")) == F.col(names["text_crc32"])]
+    found = docs.join(right, same[0] & same[1] & same[2])
+    if not taken.where("rows > 1").isEmpty():
+        repeated = F.col(names["rows"]) > 1
+        found = found.where(~repeated).unionAll(found.where(repeated).dropDuplicates([names[c] for c in ("doc_id", "source", "text_crc32")]))
+    turn = free_name(docs, "_turn")
+    return found.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(names["times"]).cast("int")))).select(*docs.columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     plan = mix_plan(table(spark, sf_dir, "documents"))
