@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from parcela.plans import analytics, cleaning
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**cleaning.QUERIES, **analytics.QUERIES}
+ORACLE_SQL: dict[str, str] = {**cleaning.ORACLE_SQL, **analytics.ORACLE_SQL}
