@@ -1,7 +1,8 @@
 """Licence scans: passages against licence templates by Dice coefficient over word bigrams.
 
 Texts and templates are normalised alike: lower case, words of letters and digits alone. A passage is a
-line, or a run of neighbouring lines each of which shares a bigram with some template. With a least
+line, or a run of neighbouring lines each of which shares a bigram with some template or, after the first,
+holds words of templates alone. With a least
 coefficient t, a template of m bigrams can only match a passage of n bigrams if n lies between m t / (2 - t)
 and m (2 - t) / t; templates out of that range are not compared.
 
@@ -54,6 +55,7 @@ class Scanner:
         self.least = least
         self.templates = [(name, bigrams(normalised(t))) for name, t in sorted(templates.items())]
         self.known = frozenset().union(*(b for _, b in self.templates))
+        self.vocabulary = {w for pair in self.known for w in pair}
         self.most = max(len(b) for _, b in self.templates) * (2 - least) / least
 
     def best(self, found: frozenset[tuple[str, str]]) -> tuple[float, str]:
@@ -71,7 +73,7 @@ class Scanner:
         out, run = [], []
         for line in [*(text or "").split("\n"), ""]:
             words = normalised(line)
-            if not bigrams(words).isdisjoint(self.known):
+            if not bigrams(words).isdisjoint(self.known) or run and words and self.vocabulary.issuperset(words):
                 run.append(words)
                 continue
             if run:

@@ -27,18 +27,23 @@ EXACT_WORDS = 1 << 16
 
 
 def best_subset(available: dict[int, int], budget: int) -> dict[int, int]:
-    """How many of each length to take for the largest sum within the budget; `available` bounds each."""
-    reach, steps, window = 1, [], (1 << (budget + 1)) - 1
+    """How many of each length to take for the sum nearest to the budget (of two as near, the lower); `available` bounds each."""
+    top = budget + min(EXACT_WORDS, max((x for x, n in available.items() if n > 0), default=0))
+    reach, steps, window = 1, [], (1 << (top + 1)) - 1
     for x, n in sorted(available.items(), reverse=True):
         k = 1
         while n > 0 and not reach >> budget & 1:
             k = min(k, n)
-            if k * x > budget:
+            if k * x > top:
                 break
             steps.append((reach, x, k))
             reach |= reach << (k * x) & window
             n, k = n - k, 2 * k
-    total, out = reach.bit_length() - 1, {}
+    total, over = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1, reach >> (budget + 1)
+    above = budget + (over & -over).bit_length()
+    if over and above - budget < budget - total:
+        total = above
+    out: dict[int, int] = {}
     for before, x, k in reversed(steps):
         if not before >> total & 1:
             out[x] = out.get(x, 0) + k
@@ -47,7 +52,7 @@ def best_subset(available: dict[int, int], budget: int) -> dict[int, int]:
 
 
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """Documents to take of each length, so that their words come to the budget, or as near below as can be."""
+    """Documents to take of each length, so that their words come to the budget, or as near as can be."""
     counts = {x: n for x, n in sorted(counts.items(), reverse=True) if x > 0}
     whole = sum(x * n for x, n in counts.items())
     if not whole or budget <= 0:

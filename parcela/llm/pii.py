@@ -122,7 +122,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                     terms, h = window(text, span)
                     out += [(doc_id, text_hash, entity(text, span), h, t, 0) for t in (*set(terms), "")]
             out.append((None, None, None, None, None, n))
-            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("doc_id", "text_hash", "entity", "window", "n_words")})
+            yield pd.DataFrame(out, columns=names, dtype=object).astype({c: "Int64" for c in ("doc_id", "text_hash", "entity", "window", "n_words")})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
     return keyed.mapInPandas(rows, "doc_id long, text_hash long, entity long, window long, term string, n_words long")

@@ -94,13 +94,13 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 5) ->
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0)
     cache: dict[bytes, np.ndarray] = {}
-    parts: list[np.ndarray] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []  # distinct features and how often each stands
     of: list[int] = []
     for text, y in sample:
         words = bag(text, cache)
         for i in range(0, max(1, len(words)), PART_WORDS):
             part = words[i : i + PART_WORDS]
-            parts.append(np.concatenate(part).astype(np.int32) if part else np.zeros(0, np.int32))
+            parts.append(np.unique(np.concatenate(part), return_counts=True) if part else (np.zeros(0, np.int64),) * 2)
             of.append(y)
     cache.clear()
     y = np.array(of)
@@ -112,20 +112,21 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 5) ->
     steps, done = EPOCHS * len(parts), 0
     for _ in range(EPOCHS):
         for i in random.permutation(len(parts)):
-            f, rate = parts[i], RATE * (1 - done / steps)
+            (f, times), rate = parts[i], RATE * (1 - done / steps)
             done += 1
-            if not len(f):
+            n = int(times.sum())
+            if not n:
                 continue
-            mean = vectors[f].mean(axis=0)
+            mean = (times / n).astype(np.float32) @ vectors[f]
             logits = mean @ weights + bias
             p = np.exp(logits - logits.max())
             error = p / p.sum()
             error[y[i]] -= 1
             error *= weigh[y[i]] * rate
-            back = (weights @ error) / np.float32(len(f))
+            back = np.clip(weights @ error / n**0.5, -1, 1)
             weights -= np.outer(mean, error)
             bias -= error * np.float32(0.1)
-            np.subtract.at(vectors, f, np.clip(back * len(f) ** 0.5, -1, 1).astype(np.float32))
+            vectors[f] -= np.outer(times, back).astype(np.float32)
     return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(float), float(bias[1] - bias[0]))
 
 
