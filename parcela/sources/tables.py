@@ -89,12 +89,12 @@ def listings(spark: SparkSession, sf_dir: str, purpose: str | None = None) -> Da
     return out if purpose is None else out.where(F.col("purpose") == purpose)
 
 
-def scan(spark: SparkSession, path: str, wanted: Iterable[str] = (), where: Column | None = None) -> tuple[DataFrame, list[str]]:
-    """A Parquet table, or CSV with a header where it is none; the wanted columns that it has, and those that it lacks."""
+def scan(spark: SparkSession, stem: str, wanted: Iterable[str] = (), where: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """The table at stem.parquet, or at stem.csv (with a header) where that is missing; the wanted columns that it has, and those that it lacks."""
     try:
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(f"{stem}.parquet")
     except AnalysisException:
-        df = spark.read.option("header", True).csv(path)
+        df = spark.read.option("header", True).csv(f"{stem}.csv")
     if where is not None:
         df = df.where(where)
     wanted = list(wanted) or df.columns

@@ -139,7 +139,7 @@ def test_upsert_and_ingest(spark, tmp_path):
 
 
 def test_scan_names_what_is_missing(spark, tmp_path):
-    spark.createDataFrame([(1, "x")], "a int, b string").write.option("header", True).csv(str(tmp_path / "t"))
+    spark.createDataFrame([(1, "x")], "a int, b string").write.option("header", True).csv(str(tmp_path / "t.csv"))
     df, missing = tables.scan(spark, str(tmp_path / "t"), ["b", "c"])
     assert df.columns == ["b"] and missing == ["c"]
     assert tables.first_present(["Lat", "lon"], ["latitude", "lat"]) == "Lat"
