@@ -13,7 +13,8 @@ keys are three of 64 positions each, spread evenly.
 
 A key with over MOST_LISTED fingerprints is not paired out. `Exact` links them through their neighbours at
 one flipped bit: two fingerprints within two bits share one, and only those do. `Similar` compares each
-with the first of its key.
+with the first of its key; then, under keys that are not crowded, pairs that are not yet joined. So a
+large group of near copies costs a few comparisons for each text and key, and not one for each pair.
 
 Defined results: null and empty texts have fingerprint 0; repeated rows are documents of one node; texts
 shorter than a shingle are one shingle; an empty table gives an empty result.
@@ -132,29 +133,46 @@ def close(a: Column, b: Column, scheme: Scheme) -> Column:
     return (shared >= scheme.least_shared) & (sum(F.bit_count(x) for x in differing) <= scheme.most_bits)
 
 
-def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Edges (a, b) between nodes (node, print) that are close; for crowded keys as many as join the same nodes."""
-    posts = posted(nodes, scheme)
-    crowd = durable(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"))
-    shared = posts.join(crowd, "key")
-    listed = shared.where(F.col("n") <= MOST_LISTED).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("list"))
-    pairs = listed.select(F.explode(F.expr("flatten(transform(slice(list, 1, size(list) - 1), (x, i) -> transform(slice(list, i + 2, size(list)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.*")
-    crowded = shared.where(F.col("n") > MOST_LISTED)
-    if scheme.neighbours:
-        near = F.concat(F.array(F.col("print")[0]), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("print")[0].bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-        around = nodes.join(crowded.select("node").distinct(), "node").select("node", F.explode(near).alias("near"))
-        firsts = around.groupBy("near").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        sure = around.join(firsts, "near").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    else:
-        pairs = pairs.unionAll(crowded.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
-        sure = None
+def paired(listed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of each key of (key, node, root) whose roots differ; for keys of bounded size."""
+    lists = listed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("list"))
+    inner = "transform(filter(slice(list, i + 2, size(list)), y -> y.root <> x.root), y -> named_struct('a', x.node, 'b', y.node))"
+    return lists.select(F.explode(F.expr(f"flatten(transform(slice(list, 1, size(list) - 1), (x, i) -> {inner}))")).alias("p")).select("p.*")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs (a, b) whose fingerprints are close."""
     with_prints = (
         pairs.distinct()
         .join(nodes.select(F.col("node").alias("a"), F.col("print").alias("_pa")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("print").alias("_pb")), "b")
     )
-    verified = with_prints.where(close(F.col("_pa"), F.col("_pb"), scheme)).select("a", "b")
-    return verified if sure is None else verified.unionAll(sure)
+    return with_prints.where(close(F.col("_pa"), F.col("_pb"), scheme)).select("a", "b")
+
+
+def neighbour_links(nodes: DataFrame) -> DataFrame:
+    """Edges that join all 64-bit fingerprints within two bits: each with the first that shares a value within one bit."""
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    near = F.concat(F.array(F.col("print")[0]), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("print")[0].bitwiseXOR(one(i))))
+    around = nodes.select("node", F.explode(near).alias("near"))
+    firsts = around.groupBy("near").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return around.join(firsts, "near").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Edges (a, b) between nodes (node, print) that are close, as many as join the nodes that are."""
+    posts = posted(nodes, scheme)
+    crowd = durable(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"))
+    shared = posts.join(crowd, "key")
+    listed = shared.where(F.col("n") <= MOST_LISTED)
+    if scheme.neighbours:
+        crowded = shared.where(F.col("n") > MOST_LISTED).select("node").distinct()
+        found = verified(paired(listed.select("key", "node", F.col("node").alias("root"))), nodes, scheme)
+        return found.unionAll(neighbour_links(nodes.join(crowded, "node")))
+    stars = durable(verified(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), nodes, scheme))
+    roots = durable(components(stars)).withColumnRenamed("node", "_node")
+    apart = listed.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    return stars.unionAll(verified(paired(apart), nodes, scheme))
 
 
 def grouped(prints: DataFrame, scheme: Scheme) -> DataFrame:
