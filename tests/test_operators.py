@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcela.functions import geo, text
-from parcela.operators import clean, encoders, models, neighbours, reports
+from parcela.operators import clean, encoders, layers, models, neighbours, reports, scores
 from parcela.operators.state import aggregate, attach
-from parcela.sources import tables
+from parcela.sources import sinks, tables
 from parcela.streaming.incremental import ingest, upsert
 
 
@@ -143,3 +143,33 @@ def test_scan_names_what_is_missing(spark, tmp_path):
     df, missing = tables.scan(spark, str(tmp_path / "t"), ["b", "c"])
     assert df.columns == ["b"] and missing == ["c"]
     assert tables.first_present(["Lat", "lon"], ["latitude", "lat"]) == "Lat"
+
+
+def test_geojson_and_keyed_replacement(spark, tmp_path):
+    points = spark.createDataFrame([("a", 2, 40.2, 29.2), ("a", 1, 40.1, 29.1)], "line string, seq int, lat double, lon double")
+    assert sinks.geojson_lines(points, "line").first()["geojson"] == '{"type":"LineString","coordinates":[[29.1,40.1],[29.2,40.2]]}'
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    sinks.write_table(points, old)
+    sinks.replace_keyed(points.withColumn("lat", F.lit(41.0)).where("seq = 1"), old, new, ["line", "seq"], ["seq"])
+    assert {(r.seq, r.lat) for r in spark.read.parquet(new).collect()} == {(1, 41.0), (2, 40.2)}
+    sinks.write_report(points, str(tmp_path / "report"), ["seq"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 2
+
+
+def test_scores_of_missing_attributes(spark):
+    assert one(spark, scores.yes_no, " Var ") == 1.0 and one(spark, scores.yes_no, "Hayır") == 0.0 and one(spark, scores.yes_no, "belki") is None
+    assert one(spark, scores.age_score, None, "double") is None
+    assert one(spark, scores.poi_category, "High_School") == "education"
+    df = spark.createDataFrame([(None, 1.0, "x"), (True, 1.0, "x")], "e boolean, v double, c string")
+    assert {tuple(r) for r in scores.scope_mask(df, F.col("e"), ["v"], ["c"]).select("v", "c").collect()} == {(0.0, "location_not_used"), (1.0, "x")}
+
+
+def test_layers_keep_every_row(spark):
+    rows = [(i, float(100 + i % 7 * 5), 110.0, float(i % 7), i // 2 % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, y double, p double, x double, s int").withColumn("fold", (F.col("id") % 2).cast("int"))
+    out, share = layers.residual_layer(df, "y", "p", F.col("s") == 1, ["x"], 2, [0.5, 1.0])
+    assert out.count() == 120 and share > 0
+    mixed, weight = layers.segment_layer(df.withColumn("expert", F.col("y")), "y", "p", F.col("s") == 1, "expert", [0.5, 1.0], 10)
+    assert weight == 1.0 and mixed.where("s = 1 and layered <> y").isEmpty() and mixed.where("s = 0 and layered <> p").isEmpty()
+    assert layers.segment_layer(df.withColumn("expert", F.col("y")), "y", "p", F.col("s") == 1, "expert", [1.0], 1000)[1] == 0.0
+    assert layers.calibrate_quantiles(df, "y", "p", 2).count() == 120
