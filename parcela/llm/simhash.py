@@ -13,8 +13,10 @@ keys are three of 64 positions each, spread evenly.
 
 A key with over MOST_LISTED fingerprints is not paired out. `Exact` links them through their neighbours at
 one flipped bit: two fingerprints within two bits share one, and only those do. `Similar` compares each
-with the first of its key; then, under keys that are not crowded, pairs that are not yet joined. So a
-large group of near copies costs a few comparisons for each text and key, and not one for each pair.
+with the first of its key, under an eighth of the keys, and joins what is close. Then, under all keys,
+it looks only at keys that hold texts not yet joined: each is compared with the first of the key's
+smallest group, and where the key is not crowded with every text of another group. So a large group of
+near copies costs a few comparisons for each text, and not one for each pair.
 
 Defined results: null and empty texts have fingerprint 0; repeated rows are documents of one node; texts
 shorter than a shingle are one shingle; an empty table gives an empty result.
@@ -112,18 +114,18 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return narrow.mapInPandas(rows, "doc_id long, text_hash long, print array<long>")
 
 
-def posted(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(node, key): each fingerprint under its keys, a key being its number and the bytes at its positions in one long."""
+def posted(nodes: DataFrame, scheme: Scheme, most_keys: int | None = None) -> DataFrame:
+    """(node, root, key): each fingerprint under its keys or the first of them, a key being its number and the bytes at its positions in one long."""
     prints = F.col("print")
     found = F.transform(F.sequence(F.lit(0), F.lit(8 * scheme.words - 1)), lambda p: F.call_function("shiftrightunsigned", prints[F.floor(p / 8).cast("int")], 8 * (p % 8)).bitwiseAND(F.lit(255)))
-    parts = ", ".join("array(" + ", ".join(map(str, positions)) + ")" for positions in scheme.keys)
+    parts = ", ".join("array(" + ", ".join(map(str, positions)) + ")" for positions in scheme.keys[:most_keys])
     places = F.expr(f"array({parts})")  # constant
 
     def key(positions: Column, k: Column) -> Column:
         joined = [F.call_function("shiftleft", k.cast("long"), F.lit(32)), *(F.shiftleft(F.col("_bytes")[positions[i]], 8 * i) for i in range(len(scheme.keys[0])))]
         return reduce(lambda a, b: a.bitwiseOR(b), joined)
 
-    return nodes.select("node", found.alias("_bytes")).select("node", F.explode(F.transform(places, key)).alias("key"))
+    return nodes.select("node", "root", found.alias("_bytes")).select("node", "root", F.explode(F.transform(places, key)).alias("key"))
 
 
 def close(a: Column, b: Column, scheme: Scheme) -> Column:
@@ -159,25 +161,39 @@ def neighbour_links(nodes: DataFrame) -> DataFrame:
     return around.join(firsts, "near").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def meeting(nodes: DataFrame, scheme: Scheme, most_keys: int | None = None) -> DataFrame:
+    """(key, node, root, n, least): the fingerprints under keys that hold more than one root, with the key's size and smallest root."""
+    posts = posted(nodes, scheme, most_keys)
+    keys = durable(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").drop("most"))
+    return durable(posts.join(keys, "key"))
+
+
+def star_links(met: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Verified pairs of each fingerprint with the first one of its key's smallest root."""
+    firsts = met.where("root = least").groupBy("key").agg(F.min("node").alias("a"))
+    return verified(met.where("root <> least").join(firsts, "key").select("a", F.col("node").alias("b")), nodes, scheme)
+
+
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """Edges (a, b) between nodes (node, print) that are close, as many as join the nodes that are."""
-    posts = posted(nodes, scheme)
-    crowd = durable(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"))
-    shared = posts.join(crowd, "key")
-    listed = shared.where(F.col("n") <= MOST_LISTED)
+    alone = nodes.withColumn("root", F.col("node"))
     if scheme.neighbours:
-        crowded = shared.where(F.col("n") > MOST_LISTED).select("node").distinct()
-        found = verified(paired(listed.select("key", "node", F.col("node").alias("root"))), nodes, scheme)
-        return found.unionAll(neighbour_links(nodes.join(crowded, "node")))
-    stars = durable(verified(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), nodes, scheme))
-    roots = durable(components(stars)).withColumnRenamed("node", "_node")
-    apart = listed.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    return stars.unionAll(verified(paired(apart), nodes, scheme))
+        met = meeting(alone, scheme)
+        crowded = met.where(F.col("n") > MOST_LISTED).select("node").distinct()
+        return verified(paired(met.where(F.col("n") <= MOST_LISTED)), nodes, scheme).unionAll(neighbour_links(nodes.join(crowded, "node")))
+    first = durable(star_links(meeting(alone, scheme, len(scheme.keys) // 8), nodes, scheme))
+    roots = components(first).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    joined = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "print", F.coalesce("_root", "node").alias("root"))
+    met = meeting(durable(joined), scheme)
+    second = star_links(met, nodes, scheme)
+    return first.unionAll(second).unionAll(verified(paired(met.where(F.col("n") <= MOST_LISTED)), nodes, scheme))
 
 
 def grouped(prints: DataFrame, scheme: Scheme) -> DataFrame:
     """(print, component_id) for each fingerprint of durable (doc_id, print): the smallest doc_id of its component."""
-    nodes = durable(prints.groupBy("print").agg(F.min("doc_id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so that no task posts much more than its share
+    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("id")).repartition(spread, "print")
+    nodes = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
     roots = durable(components(links(nodes, scheme)))
     linked = nodes.join(roots, "node").select("node", "root", "id")
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
