@@ -12,6 +12,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def texts_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(_id, _y, text) for a bounded table of (_id, _y): one text for each, the smallest where an id has several."""
+    found = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("_id", "_y").agg(F.min("text").alias("text"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], seed: int = 3) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """Up to most[y] texts labelled y, of lowest seeded hash, and the number of training labels of each y.
 
@@ -24,8 +30,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     for y, n in most.items():
         part = usable.where(F.col("_y") == y).orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(n)
         picked = part if picked is None else picked.unionAll(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), F.col("doc_id") == F.col("_id"))  # sum(most) rows at most
-    order = sorted((r["doc_id"], r["_y"], r["text"] or "") for r in rows.collect())
+    order = sorted((r["_id"], r["_y"], r["text"] or "") for r in texts_of(docs, picked).collect())
     return [(text, y) for _, y, text in order], counts
 
 

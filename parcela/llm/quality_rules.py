@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcela.llm.common import free_name, table
-from parcela.llm.labelled import held_out
+from parcela.llm.labelled import held_out, texts_of
 
 LABELLED = 20_000
 #: Rules of a list, conditions of a rule, thresholds tried for a statistic: bounds on size, not on texts.
@@ -174,10 +174,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> lis
     """The list for `quality` 0, from up to `most` labelled texts of lowest id hash in the training split."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"))
     picked = known.orderBy(F.xxhash64(F.lit(3), "_id"), "_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), F.col("doc_id") == F.col("_id"))  # `most` rows at most
-    counted, names = with_statistics(texts)
-    values = counted.select("doc_id", "_y", *(statistic_column(s, names).alias(s) for s in STATISTICS)).collect()
-    rows = sorted((r["doc_id"], *r[1:]) for r in values)
+    counted, names = with_statistics(texts_of(docs, picked))
+    values = counted.select("_id", "_y", *(statistic_column(s, names).alias(s) for s in STATISTICS)).collect()  # `most` rows at most
+    rows = sorted(tuple(r) for r in values)
     data = np.array([r[1:] for r in rows], dtype=float).reshape(-1, 1 + len(STATISTICS))
     return learn(data[:, 1:], data[:, 0] == 0)
 
