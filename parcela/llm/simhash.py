@@ -185,8 +185,11 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     roots = components(first).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     joined = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "print", F.coalesce("_root", "node").alias("root"))
     met = meeting(durable(joined), scheme)
-    second = star_links(met, nodes, scheme)
-    return first.unionAll(second).unionAll(verified(paired(met.where(F.col("n") <= MOST_LISTED)), nodes, scheme))
+    stars = durable(first.unionAll(star_links(met, nodes, scheme)))
+    roots = components(stars).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    listed = met.where(F.col("n") <= MOST_LISTED).join(roots, F.col("node") == F.col("_node"), "left")
+    apart = listed.select("key", "node", F.coalesce("_root", "node").alias("root"))
+    return stars.unionAll(verified(paired(apart), nodes, scheme))
 
 
 def grouped(prints: DataFrame, scheme: Scheme) -> DataFrame:
