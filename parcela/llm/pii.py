@@ -41,7 +41,7 @@ CONTEXT, REACH = 4, 400
 LEAST_TERM = 3
 LEAST_WINDOWS = 2
 LEAST_DISCLOSURE, REMOVE_DISCLOSURE = 0.8, 0.95
-#: Tables of terms up to this size are broadcast, larger ones are joined by shuffling.
+#: Tables of texts with disclosing terms up to this size are broadcast, larger ones are joined by shuffling.
 MOST_BROADCAST = 50_000
 
 Span = tuple[str, int, int]
@@ -129,21 +129,23 @@ def contexts(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of the terms stands in the corpus."""
-    if terms.count() > MOST_BROADCAST:
-        word = F.explode(F.regexp_extract_all("text", F.lit(WORDS.pattern), F.lit(0)))
-        plain = F.lower(F.trim(F.lit(EDGES), F.col("word")))
-        return docs.select(word.alias("word")).groupBy(plain.alias("term")).agg(F.count("*").alias("n")).join(terms, "term")
-    known = docs.sparkSession.sparkContext.broadcast({r["term"] for r in terms.collect()})  # MOST_BROADCAST at most
+    """(term, n): how often each of the terms stands in the corpus.
+
+    All words are counted batch by batch where they lie; only the counts meet the terms, by shuffling."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter[str] = Counter()
         for batch in batches:
+            words: Counter[str] = Counter()
             for text in batch["text"]:
-                n.update(t for w in WORDS.findall(text or "") if (t := w.strip(EDGES).lower()) in known.value)
-        yield pd.DataFrame(n.items(), columns=["term", "n"])
-
-    return docs.select("text").mapInPandas(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+                words.update(WORDS.findall(text or ""))
+            n: Counter[str] = Counter()
+            for word, times in words.items():
+                if t := term(word):
+                    n[t] += times
+            yield pd.DataFrame({"term": pd.Series(n.keys(), dtype=object), "n": pd.Series(n.values(), dtype="int64")})
+
+    counts = docs.select("text").mapInPandas(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counts.join(terms, "term")
 
 
 def disclosing(docs: DataFrame) -> DataFrame:

@@ -245,6 +245,18 @@ def test_op6_revealing_terms(spark):
     assert "zanzibarov" not in clean[1001] and "<EMAIL>" in clean[1001] and clean[3] == dict(rows)[3]
 
 
+def test_op6_many_terms_are_counted_as_few(spark, monkeypatch):
+    rows = [(k, f"common{k % 7} filler{k % 5} text and nothing else stands here") for k in range(300)]
+    rows += [(1000 + k, f"common{k} ask (Zanzibarov!) at z.ov@mail.example.com about filler{k}") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = spark.createDataFrame([("zanzibarov",), ("text",), ("absent",)], "term string")
+    few = sorted(map(tuple, pii.find_pii(df).collect()))
+    monkeypatch.setattr(pii, "MOST_BROADCAST", 0)
+    assert {r.term: r.n for r in pii.term_counts(df, terms).collect()} == {"zanzibarov": 5, "text": 300}
+    many = sorted(map(tuple, pii.find_pii(df).collect()))
+    assert many == few and sum("removed:" in r[-1] or "term:" in r[-1] for r in many) == 5
+
+
 def test_op6_hard_rows(spark):
     out = pii.find_pii(hard(spark))
     row = out.where("doc_id = 7").first()
