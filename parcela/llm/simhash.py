@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcela.llm import near
 from parcela.llm.common import durable, free_name, table
 from parcela.llm.components import components
 
@@ -211,14 +212,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("print")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    """docs with one document of each group: that of the smallest (doc_id, hash of the text)."""
-    scheme = scheme or similar()
-    prints = durable(fingerprints(docs, scheme))
-    groups = grouped(prints.select("doc_id", "print"), scheme).withColumnRenamed("print", "_p")
-    member = prints.join(groups, F.col("print") == F.col("_p"))
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs with one document of each group of near copies: that of the smallest (doc_id, hash of the text)."""
+    member = durable(near.grouped(docs, similarity, shingle))
     first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
-    times = prints.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    times = member.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     stay = durable(first.alias("f").join(times.alias("t"), F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.text_hash") == F.col("t.text_hash"))).select("f.doc_id", "f.text_hash", "n"))
     names = {"doc_id": free_name(docs, "_id"), "text_hash": free_name(docs, "_hash"), "n": free_name(docs, "_times")}
     right = stay.withColumnsRenamed(names)

@@ -208,6 +208,39 @@ def test_pipeline_drops_near_copies_and_keeps_others(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3 * i for i in range(60)] and copies == 20
 
 
+def near_rows(passage, own, groups, edits, seed):
+    """Texts of one passage and words of their own; in each group a second one with `edits` of its words changed."""
+    random = np.random.default_rng(seed)
+    shared = [f"p{k}" for k in range(passage)]
+    rows = []
+    for i in range(groups):
+        words = shared + [f"w{int(x)}" for x in random.integers(10**6, size=own)]
+        rows.append((2 * i, " ".join(words)))
+        for k in range(edits):
+            words[(k + 1) * len(words) // (edits + 1)] = f"e{i}x{k}"
+        rows.append((2 * i + 1, " ".join(words)))
+    return rows
+
+
+def naive_kept(rows, least=0.8):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    group = classes([i for i, _ in rows], lambda a, b: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+    return sorted(set(group.values()))
+
+
+def test_pipeline_finds_near_copies_in_a_crowd_of_one_passage(spark):
+    rows = near_rows(180, 45, 150, 3, 5)
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == naive_kept(rows) == [2 * i for i in range(150)]
+
+
+@pytest.mark.parametrize("edits", [4, 5, 6, 7])
+def test_pipeline_links_by_exact_similarity(spark, edits):
+    rows = near_rows(0, 230, 60, edits, edits)
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == naive_kept(rows)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP, CARD, PHONE = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
