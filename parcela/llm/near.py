@@ -9,7 +9,8 @@ Pairs are first held against parities: a set has one bit for each of 512 buckets
 an odd number of the bucket, and two sets differ in at least as many shingles as bits. So no link is lost.
 What is left is settled by the shingles themselves.
 
-Texts of equal sets are one node; null and empty texts have the empty set.
+Texts of equal sets are one node, known by a hash of 64 bits; null and empty texts have the empty set. The
+shingles of all texts are not written: only prefixes are, and the whole sets of texts whose parities are near.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from parcela.llm.components import components
 WORDS = 8
 #: Common shingles are sought in about so many texts, and the most frequent are put last. Neither changes the result.
 SAMPLE_TEXTS, LEAST_SEEN, MOST_COMMON = 10_000, 3, 200_000
+#: Tables of texts to be read again up to this size are broadcast, larger ones are joined by shuffling.
+MOST_BROADCAST = 50_000
 #: Bits of the hash by which common shingles are known.
 MARK_BITS = 24
 
@@ -39,24 +42,28 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(counts % 2 == 1, bitorder="little").view("<u8").astype(np.int64)
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, digest, n, parity, shingles) of every document; shingles are distinct and sorted."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
     from parcela.llm.simhash import shingle_hashes
 
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def whole_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) for (node, text)."""
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"]]
-            out = {"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]}
-            yield pd.DataFrame(out | {"n": [len(s) for s in sets], "parity": [parities(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, shingle).view(np.int64) for t in batch["text"]]})
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return narrow.mapInPandas(rows, "doc_id long, text_hash long, digest binary, n long, parity array<long>, shingles array<long>")
+    return texts.select("node", "text").mapInPandas(rows, "node long, shingles array<long>")
 
 
-def common(nodes: DataFrame, n_nodes: int) -> np.ndarray:
+def common(docs: DataFrame, shingle: int) -> np.ndarray:
     """One truth value for each value of a hash's first MARK_BITS bits: whether it is that of a common shingle."""
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, math.ceil(n_nodes / SAMPLE_TEXTS)))) == 0)
-    seen = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_SEEN)
+    texts = docs.select(F.xxhash64("text").alias("node"), "text")
+    sample = texts.where(F.pmod("node", F.lit(max(1, math.ceil(docs.count() / SAMPLE_TEXTS)))) == 0).dropDuplicates(["node"])
+    seen = whole_sets(sample, shingle).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_SEEN)
     most = seen.orderBy(F.desc("c"), "shingle").limit(MOST_COMMON).select(F.shiftrightunsigned("shingle", 64 - MARK_BITS).alias("mark"))
     marked = np.zeros(1 << MARK_BITS, dtype=bool)
     marked[np.array([r["mark"] for r in most.collect()], dtype=np.int64)] = True  # MOST_COMMON at most
@@ -65,23 +72,27 @@ def common(nodes: DataFrame, n_nodes: int) -> np.ndarray:
 
 def prefix(shingles: np.ndarray, marked: np.ndarray, t: float) -> np.ndarray:
     """The first of the sorted shingles, common ones last: so many that sets of similarity t share one of them."""
-    late = marked[(shingles.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)]
+    late = marked[(shingles >> np.uint64(64 - MARK_BITS)).astype(np.int64)]
+    if not len(shingles):
+        return shingles
     n = len(shingles) - math.ceil(t * len(shingles) - 1e-9) + 1
     return np.concatenate([shingles[~late], shingles[late]])[:n]
 
 
-def posted(nodes: DataFrame, marked: np.ndarray, t: float) -> DataFrame:
-    """(node, n, shingle): each node under the shingles of its prefix."""
-    known = nodes.sparkSession.sparkContext.broadcast(np.packbits(marked))
+def sketches(docs: DataFrame, marked: np.ndarray, t: float, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, node, n, parity, prefix) of every document."""
+    known = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(known.value).view(bool)
         for batch in batches:
-            found = [prefix(np.asarray(s, dtype=np.int64), bits, t) for s in batch["shingles"]]
-            times = [len(x) for x in found]
-            yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), times), "n": np.repeat(batch["n"].to_numpy(), times), "shingle": np.concatenate([*found, np.zeros(0, dtype=np.int64)])})
+            sets = [shingle_set(x, shingle) for x in batch["text"]]
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            out = {"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "node": nodes, "n": [len(s) for s in sets]}
+            yield pd.DataFrame(out | {"parity": [parities(s) for s in sets], "prefix": [prefix(s, bits, t).view(np.int64) for s in sets]})
 
-    return nodes.where("n > 0").select("node", "n", "shingles").mapInPandas(rows, "node long, n long, shingle long")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return narrow.mapInPandas(rows, "doc_id long, text_hash long, node long, n long, parity array<long>, prefix array<long>")
 
 
 def fits(n_a: Column, n_b: Column, t: float) -> Column:
@@ -89,41 +100,44 @@ def fits(n_a: Column, n_b: Column, t: float) -> Column:
     return F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(t) - F.lit(1e-9)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose sets have similarity t or more."""
-    def side(c: str, what: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col(what).alias(f"_{c}"))
+    def side(c: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("parity").alias(f"_{c}"))
 
     both = F.col("_na") + F.col("_nb")
     differing = sum(F.bit_count(F.col("_a")[k].bitwiseXOR(F.col("_b")[k])) for k in range(WORDS))
-    near = durable(pairs.distinct().join(side("a", "parity"), "a").join(side("b", "parity"), "b").where(differing <= both * F.lit((1 - t) / (1 + t)) + F.lit(1e-9)).select("a", "b"))
+    may = fits(F.col("_na"), F.col("_nb"), t) & (differing <= both * F.lit((1 - t) / (1 + t)) + F.lit(1e-9))
+    near = durable(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"))
+    read = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
+    read = durable(read)
+    read = F.broadcast(read) if read.count() <= MOST_BROADCAST else read
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(read, "text_hash").select("node", "text").dropDuplicates(["node"])
+    sets = durable(whole_sets(texts, shingle))
     shared = F.size(F.array_intersect("_a", "_b"))
-    return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").where(shared >= F.lit(t) * (both - shared) - F.lit(1e-9)).select("a", "b")
+    whole = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
+    return whole.where(shared >= F.lit(t) * (F.size("_a") + F.size("_b") - shared) - F.lit(1e-9)).select("a", "b")
 
 
-def links(nodes: DataFrame, t: float) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame, t: float, shingle: int) -> DataFrame:
     """Edges (a, b) between nodes of similarity t or more, as many as join all such nodes."""
-    posts = posted(nodes, common(nodes, nodes.count()), t)
-    posts = durable(posts)
-    firsts = posts.groupBy("shingle").agg(F.count("*").alias("times"), F.min(F.struct("node", "n")).alias("first")).where("times > 1").drop("times")
+    posts = nodes.select(F.explode("prefix").alias("shingle"), "node").repartition("shingle")
+    firsts = posts.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
     met = durable(posts.join(firsts, "shingle"))
-    starred = met.where((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n"), t))
-    stars = durable(verified(starred.select(F.col("first.node").alias("a"), F.col("node").alias("b")), nodes, t))
-    roots = components(stars).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    rooted = met.join(roots, F.col("node") == F.col("_node"), "left").select("shingle", "node", "n", F.coalesce("_root", "node").alias("root"))
-    rooted = durable(rooted)
+    stars = durable(verified(met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), nodes, docs, t, shingle))
+    roots = durable(components(stars)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    rooted = met.join(roots, F.col("node") == F.col("_node"), "left").select("shingle", "node", F.coalesce("_root", "node").alias("root"))
     apart = rooted.groupBy("shingle").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("shingle")
     left = durable(rooted.join(apart, "shingle"))
-    a, b = (left.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-    pairs = a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b"), t))
-    return stars.unionAll(verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), nodes, t))
+    a, b = (left.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root"))) for s in "ab")
+    pairs = a.join(b, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
+    return stars.unionAll(verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), nodes, docs, t, shingle))
 
 
 def grouped(docs: DataFrame, t: float, shingle: int) -> DataFrame:
     """(doc_id, text_hash, component_id) of every document; documents joined by links have one component_id."""
-    sets = durable(shingle_sets(docs, shingle).withColumn("node", F.monotonically_increasing_id()))
-    leaders = durable(sets.groupBy("digest").agg(F.min("node").alias("node")))
-    nodes = sets.join(leaders.select("node"), "node").select("node", "n", "parity", "shingles")
-    roots = components(links(nodes, t)).select(F.col("node").alias("_node"), "root")
-    rooted = leaders.join(roots, F.col("node") == F.col("_node"), "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return sets.select("doc_id", "text_hash", "digest").join(rooted, "digest").select("doc_id", "text_hash", "component_id")
+    found = durable(sketches(docs, common(docs, shingle), t, shingle))
+    nodes = durable(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "parity", "prefix")), F.min("text_hash").alias("text_hash")))
+    roots = durable(components(links(nodes, docs, t, shingle))).select(F.col("node").alias("_node"), "root")
+    rooted = found.select("doc_id", "text_hash", "node").join(roots, F.col("node") == F.col("_node"), "left")
+    return rooted.select("doc_id", "text_hash", F.coalesce("root", "node").alias("component_id"))

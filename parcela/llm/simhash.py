@@ -7,16 +7,11 @@ found there. Fingerprints under one key are candidates: the bytes that they shar
 are tallied, pairs with the guaranteed number go on, and their bits are compared.
 
 `Exact` (64 bits, distance 2): at least six of eight bytes agree. With the bytes in four pairs, two pairs
-at least agree whole, so the six keys of two pairs each find every link. `Similar` (512 bits of five-word
-shingles): the expected share of differing bits is acos(2s/(1+s))/pi for texts of Jaccard similarity s;
-keys are three of 64 positions each, spread evenly.
+at least agree whole, so the six keys of two pairs each find every link.
 
-A key with over MOST_LISTED fingerprints is not paired out. `Exact` links them through their neighbours at
-one flipped bit: two fingerprints within two bits share one, and only those do. `Similar` compares each
-with the first of its key, under an eighth of the keys, and joins what is close. Then, under all keys,
-it looks only at keys that hold texts not yet joined: each is compared with the first of the key's
-smallest group, and where the key is not crowded with every text of another group. So a large group of
-near copies costs a few comparisons for each text, and not one for each pair.
+A key with over MOST_LISTED fingerprints is not paired out. They are linked through their neighbours at
+one flipped bit: two fingerprints within two bits share one, and only those do. The pipeline's near copies
+are sought by `parcela.llm.near`.
 
 Defined results: null and empty texts have fingerprint 0; repeated rows are documents of one node; texts
 shorter than a shingle are one shingle; an empty table gives an empty result.
@@ -61,16 +56,6 @@ def exact() -> Scheme:
     return Scheme(3, 1, tuple(a + b for a, b in combinations(pairs, 2)), 6, 2, True)
 
 
-def similar(similarity: float = 0.8, shingle: int = 5, words: int = 8, keys: int = 128) -> Scheme:
-    n = 8 * words
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    random = np.random.default_rng(SEED)
-    triples = [tuple(order[i : i + 3].tolist()) for order in (random.permutation(n) for _ in range(keys)) for i in range(0, n - 2, 3)]
-    expected = n * (1 - share) ** 8
-    least = max(3, math.floor(expected - 2.5 * math.sqrt(expected)))
-    return Scheme(shingle, words, tuple(triples[:keys]), least, round(64 * words * share), False)
-
-
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """XXH64 of the lower-cased (A-Z) text's word shingles, repeats included."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -169,28 +154,12 @@ def meeting(nodes: DataFrame, scheme: Scheme, most_keys: int | None = None) -> D
     return durable(posts.join(keys, "key"))
 
 
-def star_links(met: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Verified pairs of each fingerprint with the first one of its key's smallest root."""
-    firsts = met.where("root = least").groupBy("key").agg(F.min("node").alias("a"))
-    return verified(met.where("root <> least").join(firsts, "key").select("a", F.col("node").alias("b")), nodes, scheme)
-
-
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """Edges (a, b) between nodes (node, print) that are close, as many as join the nodes that are."""
     alone = nodes.withColumn("root", F.col("node"))
-    if scheme.neighbours:
-        met = meeting(alone, scheme)
-        crowded = met.where(F.col("n") > MOST_LISTED).select("node").distinct()
-        return verified(paired(met.where(F.col("n") <= MOST_LISTED)), nodes, scheme).unionAll(neighbour_links(nodes.join(crowded, "node")))
-    first = durable(star_links(meeting(alone, scheme, len(scheme.keys) // 8), nodes, scheme))
-    roots = components(first).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    joined = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "print", F.coalesce("_root", "node").alias("root"))
-    met = meeting(durable(joined), scheme)
-    stars = durable(first.unionAll(star_links(met, nodes, scheme)))
-    roots = components(stars).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    listed = met.where(F.col("n") <= MOST_LISTED).join(roots, F.col("node") == F.col("_node"), "left")
-    apart = listed.select("key", "node", F.coalesce("_root", "node").alias("root"))
-    return stars.unionAll(verified(paired(apart), nodes, scheme))
+    met = meeting(alone, scheme)
+    crowded = met.where(F.col("n") > MOST_LISTED).select("node").distinct()
+    return verified(paired(met.where(F.col("n") <= MOST_LISTED)), nodes, scheme).unionAll(neighbour_links(nodes.join(crowded, "node")))
 
 
 def grouped(prints: DataFrame, scheme: Scheme) -> DataFrame:
