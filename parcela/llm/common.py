@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space; bytes.split() cuts the same runs out of UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one rank bucket; a key with more rows is ranked in several buckets, by several tasks.
 BUCKET_ROWS = 4000
+#: Arrow's name of each type that the operators' own columns have.
+ARROW = {
+    "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +28,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """df, written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (as in tests) is one made."""
+    The folder is the session's spark.checkpoint.dir. Only a session on one machine may have none set (as in
+    tests); it gets a temporary one. On a cluster that would be a disk which executors don't share: an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        set_in_session = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(set_in_session or tempfile.mkdtemp(prefix="parcela-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parcela-checkpoint-"))
     return df.checkpoint()
 
 
+def map_rows(df: DataFrame, inputs: Sequence[str], compute: Callable, fields: Mapping[str, str], keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all, if None) and the `fields` (name and type) that compute makes of the `inputs`.
+
+    compute takes a list of values for each input and returns, for some rows, which rows they are (indexes, a
+    row as often as it is wanted; None: all rows as they stand) and a list of values for each field. Kept
+    columns pass as Arrow arrays, never through pandas: a null among longs leaves the others whole.
+    """
+    kept = list(df.columns if keep is None else keep)
+    schema = T.StructType([*(df.schema[c] for c in kept), *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields.items())).fields])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, *made = compute(*(batch.column(c).to_pylist() for c in inputs))
+            columns = [batch.column(c) if which is None else batch.column(c).take(pa.array(which, pa.int64())) for c in kept]
+            columns += [pa.array(values, ARROW[t]) for values, t in zip(made, fields.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *fields])
+
+    return df.mapInArrow(rows, schema)
+
+
 def text_crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; a null text counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
