@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one rank bucket; a key with more rows is ranked in several buckets, by several tasks.
 BUCKET_ROWS = 4000
+#: Narrow rows (links, pairs) that one task takes.
+TASK_ROWS = 20_000
 #: Arrow's name of each type that the operators' own columns have.
 ARROW = {
     "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
@@ -39,6 +41,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for a table of narrow rows: few for a small one, so that it is not spread over hundreds of files."""
+    return -(-rows // TASK_ROWS) or 1
+
+
 def map_rows(df: DataFrame, inputs: Sequence[str], compute: Callable, fields: Mapping[str, str], keep: Sequence[str] | None = None) -> DataFrame:
     """The columns `keep` of df (all, if None) and the `fields` (name and type) that compute makes of the `inputs`.
 

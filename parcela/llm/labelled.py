@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcela.llm.common import map_rows
 
 
 def held_out(doc_id: Column) -> Column:
@@ -34,9 +37,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     return [(text, y) for _, y, text in order], counts
 
 
-def scored(docs: DataFrame, score_batches, threshold: float) -> DataFrame:
-    """doc_id, held_out, score, predicted from a function on batches of (doc_id, text) that yields (doc_id, score)."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(score_batches, "doc_id long, score double")
+def scored(docs: DataFrame, scores: Callable[[list[str | None]], Iterable[float]], threshold: float) -> DataFrame:
+    """doc_id, held_out, score, predicted from a function that scores a list of texts."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    out = map_rows(narrow, ["text"], lambda texts: (None, list(scores(texts))), {"score": "double"}, ["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-

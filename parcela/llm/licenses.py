@@ -1,25 +1,26 @@
 """Licence scans: passages against licence templates by Dice coefficient over word bigrams.
 
-Texts and templates are normalised alike: lower case, words of letters and digits alone. A passage is a
-line, or a run of neighbouring lines each of which shares a bigram with some template or, after the first,
-holds words of templates alone. With a least
-coefficient t, a template of m bigrams can only match a passage of n bigrams if n lies between m t / (2 - t)
-and m (2 - t) / t; templates out of that range are not compared.
-
-Defined results: null and empty texts hold no licence; ties go to the first template by name; repeated
-rows are scanned alike; other columns are not read.
+Texts and templates are normalised alike: lower case, words of letters and digits alone, line ends as any other
+space. A passage is any run of words. With a least coefficient t, a template of m bigrams can only match a
+passage of n bigrams if n lies between m t / (2 - t) and m (2 - t) / t, and only if they share m t / (2 - t). So a
+template is compared only where so many of its bigrams stand within so many places, and only with passages of no
+more places that begin and end with one of them (others are no better). Of passages that overlap the best counts.
+
+Defined results: null and empty texts hold no licence; ties go to the passage that comes first, then to the first
+template by name; texts of any length are scanned whole; repeated rows are scanned alike; a null doc_id stays
+null; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm.common import table
+from parcela.llm.common import map_rows, table
 
 LEAST = 0.8
 WORD = re.compile(r"[^\W_]+")
@@ -52,54 +53,69 @@ class Scanner:
     """Finds the templates in a text."""
 
     def __init__(self, templates: dict[str, str], least: float):
-        self.least = least
-        self.templates = [(name, bigrams(normalised(t))) for name, t in sorted(templates.items())]
-        self.known = frozenset().union(*(b for _, b in self.templates))
-        self.vocabulary = {w for pair in self.known for w in pair}
-        self.most = max(len(b) for _, b in self.templates) * (2 - least) / least
-
-    def best(self, found: frozenset[tuple[str, str]]) -> tuple[float, str]:
-        """The highest coefficient and its template, among those whose size allows the least one."""
-        n, low = len(found), self.least / (2 - self.least)
-        out = (0.0, "")
-        for name, wanted in self.templates:
-            m = len(wanted)
-            if m * low <= n <= m / low and (dice := 2 * len(found & wanted) / (n + m)) > out[0]:
-                out = (dice, name)
+        self.least, self.low = least, least / (2 - least)
+        self.names = sorted(templates)
+        self.templates = [bigrams(normalised(templates[name])) for name in self.names]
+        self.of: dict[tuple[str, str], list[int]] = {}
+        for k, wanted in enumerate(self.templates):
+            for pair in wanted:
+                self.of.setdefault(pair, []).append(k)
+
+    def passages(self, k: int, places: list[int], pairs: list[tuple[str, str]]) -> list[tuple[float, int, int, int]]:
+        """(coefficient, first bigram, template, bigram after the last) of the best passage from each place on, if it is good enough."""
+        wanted, out = self.templates[k], []
+        m = len(wanted)
+        fewest, most = max(1, math.ceil(m * self.low - 1e-9)), math.floor(m / self.low + 1e-9)
+        for i, start in enumerate(places):
+            if i + fewest > len(places) or places[i + fewest - 1] - start >= most:
+                continue
+            seen: set[tuple[str, str]] = set()
+            shared, at, best = 0, start, (0.0, 0)
+            for place in places[i:]:
+                if place - start >= most:
+                    break
+                for pair in pairs[at : place + 1]:
+                    if pair not in seen:
+                        seen.add(pair)
+                        shared += pair in wanted
+                at = place + 1
+                if (dice := 2 * shared / (len(seen) + m)) > best[0]:
+                    best = dice, at
+            if best[0] >= self.least:
+                out.append((best[0], start, k, best[1]))
         return out
 
     def __call__(self, text: str | None) -> list[tuple[str, float]]:
-        """(template, coefficient) of every passage that reaches the least one, in order."""
-        out, run = [], []
-        for line in [*(text or "").split("\n"), ""]:
-            words = normalised(line)
-            if not bigrams(words).isdisjoint(self.known) or run and words and self.vocabulary.issuperset(words):
-                run.append(words)
-                continue
-            if run:
-                passages = run if len(run) == 1 else [*run, sum(run, [])]
-                scored = [self.best(b) for p in passages if len(b := bigrams(p)) <= self.most]
-                out += [(name, dice) for dice, name in scored if dice >= self.least]
-                run = []
-        return out
+        """(template, coefficient) of the passages that reach the least one and don't overlap, in order."""
+        words = normalised(text or "")
+        pairs = list(zip(words, words[1:], strict=False))
+        places: dict[int, list[int]] = {}
+        for i, pair in enumerate(pairs):
+            for k in self.of.get(pair, ()):
+                places.setdefault(k, []).append(i)
+        found = [p for k in sorted(places) for p in self.passages(k, places[k], pairs)]
+        taken: list[tuple[int, int, float, int]] = []  # by place; none overlaps another
+        for dice, start, k, end in sorted(found, key=lambda p: (-p[0], p[1], p[2])):
+            i = bisect_left(taken, (start,))
+            if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+                taken.insert(i, (start, end, dice, k))
+        return [(self.names[k], dice) for _, _, dice, k in taken]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, license and template of the best passage (null: none), its dice, and n_passages of every document."""
-    templates = templates or TEMPLATES
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, least)
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                found = scanner(text)
-                name, dice = max(found, key=lambda f: f[1], default=(None, None))
-                out.append((doc_id, name and name.split("/")[0], name, dice, len(found)))
-            yield pd.DataFrame(out, columns=["doc_id", "license", "template", "dice", "n_passages"]).astype({"doc_id": "Int64"})
+    scanner = Scanner(templates or TEMPLATES, least)
+
+    def compute(texts: list[str | None]) -> tuple:
+        out = []
+        for text in texts:
+            found = scanner(text)
+            name, dice = max(found, key=lambda f: f[1], default=(None, None))
+            out.append((name and name.split("/")[0], name, dice, len(found)))
+        return (None, *zip(*out, strict=True)) if out else (None, [], [], [], [])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInPandas(rows, "doc_id long, license string, template string, dice double, n_passages long")
+    return map_rows(narrow, ["text"], compute, {"license": "string", "template": "string", "dice": "double", "n_passages": "long"}, ["doc_id"])
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

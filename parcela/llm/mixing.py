@@ -6,11 +6,14 @@ rounded down; the small rest is fitted by bounded-knapsack dynamic programming o
 counted. The counts then pick documents: of each source and length, those of lowest seeded hash.
 
 Defined results: null texts have no words; null sources are one source, the last; repeated rows are
-documents of their own; an empty table gives an empty result; a source without words has target 0.
+documents of their own; documents of one length and equal draw go by doc_id and checksum, a null doc_id first;
+texts of any length are counted whole; a source without words has target 0; other columns pass through
+`mix`, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
@@ -70,9 +73,33 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         rest -= more * x
     for x, n in best_subset({x: counts[x] - take[x] for x in counts}, min(rest, EXACT_WORDS)).items():
         take[x] += n
+    nearer(counts, take, budget)
     return {x: n for x, n in take.items() if n}
 
 
+def nearer(counts: dict[int, int], take: dict[int, int], budget: int) -> None:
+    """Takes one document more, or one for another, as long as that brings the sum nearer to the budget.
+
+    This settles what the window of the dynamic programming can't: rests among documents longer than it."""
+    short = budget - sum(x * n for x, n in take.items())
+    while short:
+        more = sorted(x for x in counts if take[x] < counts[x])
+        best = abs(short), 0, 0
+        for y in (0, *(y for y in take if take[y])):  # the one given back; 0: none
+            i = bisect_left(more, short + y)
+            for x in (0, *more[max(0, i - 1) : i + 1]):
+                if x != y:
+                    best = min(best, (abs(short + y - x), x, y))
+        if best[0] >= abs(short):
+            return
+        _, x, y = best
+        if x:
+            take[x] += 1
+        if y:
+            take[y] -= 1
+        short += y - x
+
+
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
     """Adds target to (source, source_size): shares by weight of `share` of all words, at most `most` times the source.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import durable, map_rows
+from parcela.llm.common import durable, map_rows, tasks_for
 from parcela.llm.components import components
 
 PLACES, VOTERS = 64, 3
@@ -41,6 +41,8 @@ KEYS = (8, 24, 48)
 LEAST_SHARED = 22
 #: Shingles that are put in order at a time, and texts of a key that one task tallies with all others of it.
 CHUNK, BLOCK = 4096, 1000
+#: Narrow rows that the sets of a pair of texts stand for.
+TEXT_ROWS = 10
 #: Pairs of two roots that are verified before all others of these roots, those of most shared bytes.
 FIRST_TRIED = 4
 #: Tables of texts to be read again up to this size are broadcast, larger ones are joined by shuffling.
@@ -162,6 +164,8 @@ def all_apart(met: DataFrame, nodes: DataFrame, t: float) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose sets have similarity t or more. Only the texts of these pairs are read again."""
     near = durable(pairs.select("a", "b").distinct())
+    tasks = tasks_for(TEXT_ROWS * near.count())
+    near = near.coalesce(tasks)
     read = durable(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node"))
     read = F.broadcast(read) if read.count() <= MOST_BROADCAST else read
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(read, "text_hash").dropDuplicates(["node"])
@@ -177,13 +181,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: float, shin
                 which.append(i)
         return (which,)
 
-    return durable(map_rows(near.join(a, "a").join(b, "b"), ["_a", "_b"], compute, {}, ["a", "b"]))
+    return durable(map_rows(near.join(a, "a").join(b, "b"), ["_a", "_b"], compute, {}, ["a", "b"]).coalesce(tasks))
 
 
 def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with the root of each: the smallest node that edges join it to."""
-    roots = components(edges).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    return durable(nodes.drop("root").join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root"))
+    roots = components(edges)
+    roots = durable(roots.coalesce(tasks_for(roots.count()))).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
 
 
 def linked(nodes: DataFrame, docs: DataFrame, t: float, shingle: int) -> DataFrame:

@@ -7,10 +7,13 @@ words on each side) that hold the term, over the chance that any window of that
 share of the entity's information content it is 1 for a term found nowhere else, and around 0 for one
 found everywhere. Terms seen in at least LEAST_WINDOWS distinct windows of an entity whose share is
 LEAST_DISCLOSURE or more are masked wherever they stand in texts that hold the entity: removed from
-REMOVE_DISCLOSURE on, else generalised. Windows that are equal word for word, as in copies, count once.
+REMOVE_DISCLOSURE on, else generalised to what kind of word they are (name, word, number, code). Windows that
+are equal word for word, as in copies, count once.
 
-Defined results: null texts are empty; repeated rows are treated alike; a term's own spans never change
-those of the patterns; an empty table gives an empty result; other columns pass through.
+Defined results: null texts are empty (and stay null where texts are returned); repeated rows are treated alike;
+texts of any length are searched whole; a term's own spans never change those of the patterns; terms of equal
+disclosure are masked alike; a null doc_id stays null; an empty table gives an empty result; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +23,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from parcela.llm.common import durable, free_name, table
+from parcela.llm.common import durable, free_name, map_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
@@ -37,7 +39,9 @@ CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?#*$%&|\"'()<>[]{}=+-_/"
-CONTEXT, REACH = 4, 400
+CONTEXT = 4
+#: Characters by which the search for context words widens; it goes on until it has them.
+STEP = 80
 LEAST_TERM = 3
 LEAST_WINDOWS = 2
 LEAST_DISCLOSURE, REMOVE_DISCLOSURE = 0.8, 0.95
@@ -97,10 +101,22 @@ def term(word: str) -> str:
     return word if len(word) >= LEAST_TERM else ""
 
 
+def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The CONTEXT words on each side of a span, looked for outwards in steps."""
+    left, right, reach = [], [], 0
+    while len(left) <= CONTEXT and reach < start:  # one word more than is wanted, as the outermost may be cut
+        reach += STEP * (len(left) + 1)
+        left = WORDS.findall(text[max(0, start - reach) : start])
+    left, reach = left[-CONTEXT:], 0
+    while len(right) <= CONTEXT and reach < len(text) - end:
+        reach += STEP * (len(right) + 1)
+        right = WORDS.findall(text[end : end + reach])
+    return left, right[:CONTEXT]
+
+
 def window(text: str, span: Span) -> tuple[list[str], int]:
-    """The terms within CONTEXT words and REACH characters of a span, and a hash of the window's words."""
-    left = WORDS.findall(text[max(0, span[1] - REACH) : span[1]])[-CONTEXT:]
-    right = WORDS.findall(text[span[2] : span[2] + REACH])[:CONTEXT]
+    """The terms within CONTEXT words of a span, and a hash of the window's words."""
+    left, right = around(text, span[1], span[2])
     terms = [t for w in (*left, *right) if "@" not in w and (t := term(w))]
     h = xxhash.xxh64_intdigest(" ".join(terms).encode("utf-8", "replace"))
     return terms, h - (1 << 64) if h >> 63 else h
@@ -111,21 +127,20 @@ def contexts(docs: DataFrame) -> DataFrame:
 
     The latter stands in rows without an entity."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "text_hash", "entity", "window", "term", "n_words"]
-        for batch in batches:
-            out, n = [], 0
-            for doc_id, text, text_hash in zip(batch["doc_id"], batch["text"], batch["text_hash"], strict=True):
-                text = text or ""
-                n += len(text.encode("utf-8", "replace").split())
-                for span in base_spans(text):
-                    terms, h = window(text, span)
-                    out += [(doc_id, text_hash, entity(text, span), h, t, 0) for t in (*set(terms), "")]
-            out.append((None, None, None, None, None, n))
-            yield pd.DataFrame(out, columns=names, dtype=object).astype({c: "Int64" for c in ("doc_id", "text_hash", "entity", "window", "n_words")})
+    def compute(texts: list[str | None]) -> tuple:
+        out, n = [], 0
+        for i, text in enumerate(texts):
+            text = text or ""
+            n += len(text.encode("utf-8", "replace").split())
+            for span in base_spans(text):
+                terms, h = window(text, span)
+                out += [(i, entity(text, span), h, t, 0) for t in (*dict.fromkeys(terms), "")]
+        if texts:
+            out.append((0, None, None, None, n))
+        return tuple(zip(*out, strict=True)) if out else ([], [], [], [], [])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
-    return keyed.mapInPandas(rows, "doc_id long, text_hash long, entity long, window long, term string, n_words long")
+    return map_rows(keyed, ["text"], compute, {"entity": "long", "window": "long", "term": "string", "n_words": "long"}, ["doc_id", "text_hash"])
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -133,18 +148,18 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     All words are counted batch by batch where they lie; only the counts meet the terms, by shuffling."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: Counter[str] = Counter()
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 words.update(WORDS.findall(text or ""))
             n: Counter[str] = Counter()
             for word, times in words.items():
                 if t := term(word):
                     n[t] += times
-            yield pd.DataFrame({"term": pd.Series(n.keys(), dtype=object), "n": pd.Series(n.values(), dtype="int64")})
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
-    counts = docs.select("text").mapInPandas(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return counts.join(terms, "term")
 
 
@@ -192,14 +207,24 @@ def term_spans(text: str, marks, taken: list[Span]) -> list[Span]:
     return sorted(out)
 
 
+def general(word: str) -> str:
+    """What a term is generalised to: its kind, by its letters."""
+    if word.isdigit():
+        return "NUMBER"
+    if any(c.isdigit() for c in word):
+        return "CODE"
+    return "NAME" if word[:1].isupper() else "WORD"
+
+
 def masked(text: str, spans: list[Span]) -> str:
-    """The text with each span replaced by its kind, or removed; spans that overlap are replaced as one."""
+    """The text with each span replaced by its kind, a term by its general one, or removed; spans that overlap are replaced as one."""
     out, at = [], 0
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if end <= at:
             continue
         if start >= at:
-            out += [text[at:start], "" if kind == "removed" else f"<{kind.upper()}>"]
+            named = general(text[start:end]) if kind == "term" else kind.upper()
+            out += [text[at:start], "" if kind == "removed" else f"<{named}>"]
         at = end
     return "".join([*out, text[at:]])
 
@@ -212,14 +237,13 @@ def spans_of(text: str, marks) -> tuple[list[Span], list[Span]]:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with masked texts; n_chars, where docs has it, is counted anew."""
     marked, name = with_terms(docs)
-    schema = T.StructType(list(marked.schema.fields))
+    clean = free_name(marked, "clean")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t if t is None else masked(t, sum(spans_of(t, m), [])) for t, m in zip(batch["text"], batch[name], strict=True)]
-            yield batch.assign(text=texts)
+    def compute(texts: list[str | None], marks: list) -> tuple:
+        return None, [t if t is None else masked(t, sum(spans_of(t, m), [])) for t, m in zip(texts, marks, strict=True)]
 
-    out = marked.mapInPandas(rows, schema).select(*docs.columns)
+    found = map_rows(marked, ["text", name], compute, {clean: "string"})
+    out = found.withColumn("text", F.col(clean)).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -230,18 +254,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
     def joined(spans: list[Span]) -> str:
         return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-        for batch in batches:
-            out = []
-            for doc_id, text, marks in zip(batch["doc_id"], batch["text"], batch[name], strict=True):
-                base, more = spans_of(text or "", marks)
-                n = Counter(kind for kind, _, _ in base)
-                out.append((doc_id, *(n[k] for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined([*base, *more])))
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", name).mapInPandas(rows, f"doc_id long, {counts}, base_sha256 string, spans string")
+    def compute(texts: list[str | None], marks: list) -> tuple:
+        out = []
+        for text, m in zip(texts, marks, strict=True):
+            base, more = spans_of(text or "", m)
+            n = Counter(kind for kind, _, _ in base)
+            out.append((*(n[k] for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined([*base, *more])))
+        return (None, *zip(*out, strict=True)) if out else (None, *([] for _ in range(len(KINDS) + 2)))
+
+    narrow = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", name)
+    return map_rows(narrow, ["text", name], compute, {**{f"n_{k}": "long" for k in KINDS}, "base_sha256": "string", "spans": "string"}, ["doc_id"])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

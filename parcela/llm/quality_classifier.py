@@ -8,17 +8,18 @@ the difference of the class weights is one number; scoring a text averages those
 
 The classifier is fitted on a bounded sample, TEXTS of each label; every whole text is scored.
 Defined results: null and empty texts get the chance of their class among the training labels as weighted
-by the bias; without labels of both kinds every score is 0.5; repeated rows are scored alike.
+by the bias; without labels of both kinds every score is 0.5; texts and words of any length are read whole;
+repeated rows are scored alike; rows of null doc_id are held out and scored; other columns are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from parcela.llm.common import table
@@ -31,35 +32,62 @@ GRAMS = (3, 4)
 EPOCHS, RATE = 6, 0.4
 #: Words of a training text that make one training example; all parts of all sampled texts are used.
 PART_WORDS = 400
-MOST_WORD_BYTES = 64
-CACHE_WORDS = 100_000
 THRESHOLD = 0.5
-
-
-def features(word: bytes) -> np.ndarray:
-    """Buckets of a word and of its character n-grams, with marks for its ends."""
-    framed = b"<" + word[:MOST_WORD_BYTES] + b">"
-    grams = [framed, *(framed[i : i + n] for n in GRAMS for i in range(len(framed) - n + 1))]
-    if len(word) > MOST_WORD_BYTES:  # the rest of a very long word, in parts of the same kind
-        rest = [word[i : i + MOST_WORD_BYTES] for i in range(MOST_WORD_BYTES, len(word), MOST_WORD_BYTES)]
-        grams += rest
-    return np.fromiter((zlib.crc32(g) % BUCKETS for g in grams), dtype=np.int64, count=len(grams))
-
-
-REPEAT = zlib.crc32(b"\x00repeat") % BUCKETS
-
-
-def bag(text: str | None, cache: dict[bytes, np.ndarray]) -> list[np.ndarray]:
-    """The features of each word of a text."""
-    out, before = [], None
-    for word in (text or "").encode("utf-8", "replace").split():
-        if (f := cache.get(word)) is None:
-            if len(cache) >= CACHE_WORDS:
-                cache.clear()
-            f = cache[word] = features(word)
-        out.append(np.append(f, REPEAT) if word == before else f)
-        before = word
-    return out
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes ^ (hashes >> np.uint64(29))) * MIX >> np.uint64(48)).astype(np.int64)
+
+
+@lru_cache(maxsize=16)
+def power_table(base: np.uint64, size: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(size, base))
+
+
+def powers_of(base: np.uint64, n: int) -> np.ndarray:
+    return power_table(base, max(1 << 12, 1 << (n - 1).bit_length()))[:n]
+
+
+REPEAT = int(bucket(np.array([1], dtype=np.uint64))[0])
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets of all features of a text, the number of the word that each belongs to, and the number of words.
+
+    All is done on the text's bytes at once: white space becomes one boundary mark, an n-gram is any n bytes
+    with no mark inside, and a word's hash is a difference of sums of powers, brought to the word's start."""
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    space = np.concatenate([[True], SPACE[raw], [True]])
+    kept = ~space | np.concatenate([[True], ~space[:-1]])  # of several marks the first
+    v = np.where(space, np.uint64(0), np.concatenate([[0], raw, [0]]).astype(np.uint64) + np.uint64(1))[kept]
+    if len(v) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    mark = v == 0
+    word = np.cumsum(mark) - 1
+    found, of = [], []
+    for n in GRAMS:
+        if len(v) < n:
+            continue
+        h = np.full(len(v) - n + 1, np.uint64(n))
+        whole = np.ones(len(h), dtype=bool)
+        for k in range(n):
+            h = h * BASE + v[k : k + len(h)]
+            whole &= ~mark[k : k + len(h)] if 0 < k < n - 1 else True
+        found.append(bucket(h[whole]))
+        of.append(word[: len(h)][whole])
+    at = np.flatnonzero(mark)
+    powers, back = powers_of(BASE, len(v)), powers_of(INVERSE, len(v))
+    sums = np.cumsum(v * powers)
+    words = (sums[at[1:] - 1] - sums[at[:-1]]) * back[at[:-1]]
+    found.append(bucket(words))
+    of.append(np.arange(len(words)))
+    again = np.flatnonzero(words[1:] == words[:-1]) + 1
+    found.append(np.full(len(again), REPEAT))
+    of.append(again)
+    return np.concatenate(found), np.concatenate(of), len(words)
 
 
 @dataclass
@@ -68,24 +96,10 @@ class Model:
     bias: float
 
     def scores(self, texts: Iterable[str | None]) -> Iterator[float]:
-        """Chance of label 1. Words are looked up with the sum of their features' weights and their number."""
-        cache: dict[bytes, tuple[float, int]] = {}
-        repeat = float(self.weights[REPEAT])
+        """Chance of label 1."""
         for text in texts:
-            total, n, before = 0.0, 0, None
-            for word in (text or "").encode("utf-8", "replace").split():
-                if (known := cache.get(word)) is None:
-                    f = features(word)
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    known = cache[word] = (float(self.weights[f].sum()), len(f))
-                total += known[0]
-                n += known[1]
-                if word == before:
-                    total += repeat
-                    n += 1
-                before = word
-            yield float(1 / (1 + np.exp(-np.clip(total / max(1, n) + self.bias, -30, 30))))
+            f, _, _ = features(text)
+            yield float(1 / (1 + np.exp(-np.clip(float(self.weights[f].mean() if len(f) else 0.0) + self.bias, -30, 30))))
 
 
 def fit(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 5) -> Model:
@@ -93,16 +107,13 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 5) ->
     labels = np.array([y for _, y in sample])
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0)
-    cache: dict[bytes, np.ndarray] = {}
     parts: list[tuple[np.ndarray, np.ndarray]] = []  # distinct features and how often each stands
     of: list[int] = []
     for text, y in sample:
-        words = bag(text, cache)
-        for i in range(0, max(1, len(words)), PART_WORDS):
-            part = words[i : i + PART_WORDS]
-            parts.append(np.unique(np.concatenate(part), return_counts=True) if part else (np.zeros(0, np.int64),) * 2)
+        f, word, n_words = features(text)
+        for i in range(0, max(1, n_words), PART_WORDS):
+            parts.append(np.unique(f[(word >= i) & (word < i + PART_WORDS)], return_counts=True))
             of.append(y)
-    cache.clear()
     y = np.array(of)
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
@@ -132,14 +143,8 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 5) ->
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    model = fit(*training_sample(docs, labels, "quality", {0: TEXTS, 1: TEXTS}))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket, whatever the input
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": list(shared.value.scores(batch["text"]))}, columns=["doc_id", "score"])
-
-    return scored(docs, score, threshold)
+    model = fit(*training_sample(docs, labels, "quality", {0: TEXTS, 1: TEXTS}))  # one number a bucket, whatever the input
+    return scored(docs, model.scores, threshold)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,21 +8,20 @@ Spark CASE expression, rules in the order in which they were learned, and texts
 
 The list is fitted on a bounded sample, LABELLED texts; statistics cover every whole text.
 Defined results: null and empty texts have statistics 0 and fail the base rule (too few words); without
-labels of both kinds the list is empty; repeated rows are judged alike.
+labels of both kinds the list is empty; texts of any length are counted whole; repeated rows are judged alike;
+labels of null or held-out ids are not learned from; other columns pass through, whatever their names (counts
+take free ones); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from parcela.llm.common import free_name, table
+from parcela.llm.common import free_name, map_rows, table
 from parcela.llm.labelled import held_out, texts_of
 
 LABELLED = 20_000
@@ -79,14 +78,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
 def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """docs with a column for each count, and the columns' names (with underscores before them where docs has the name)."""
     names = {c: free_name(docs, c) for c in COUNTS}
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(names[c], T.LongType()) for c in COUNTS)])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([statistics(t) for t in batch[text]], dtype=np.int64).reshape(-1, len(COUNTS))
-            yield batch.assign(**{names[c]: found[:, i] for i, c in enumerate(COUNTS)})
-
-    return docs.mapInPandas(count, schema), names
+    return map_rows(docs, [text], lambda texts: (None, *zip(*map(statistics, texts), strict=True)) if texts else (None, *([] for _ in COUNTS)), {names[c]: "long" for c in COUNTS}), names
 
 
 @dataclass(frozen=True)

@@ -1,196 +1,230 @@
 """Toxicity by compression distance between a toxic and an ordinary zstandard dictionary.
 
-Two dictionaries are trained on labelled texts: one on ordinary windows, one on windows of toxic texts
-around the words by which toxic texts differ. A text is cut into windows of one word, each framed by the
-same ordinary phrase (zstandard stores very short inputs as they are). A window is compressed once with
-the ordinary dictionary and once with the toxic one placed before the ordinary one; so the bytes saved
-are owed to toxic material alone. Windows that save enough, as a number of bytes and as a share of their
-length, are hits. Both thresholds and the chance of a label given the hits are calibrated on labelled
-texts that neither dictionary has seen.
-
-The classifier is fitted on a bounded sample, TOXIC_TEXTS and ORDINARY_TEXTS; every whole text is scored.
-Defined results: null and empty texts have no hit; without labels of both kinds every score is 0;
-repeated rows are scored alike; other columns are not read.
+Two dictionaries are trained on windows of labelled texts, one on toxic and one on ordinary texts. A text is cut
+into overlapping windows of WINDOW words; each is compressed with either dictionary, inside the same ordinary
+frame (zstandard stores very short inputs as they are). What the toxic dictionary saves over the ordinary one, in
+bytes, is a window's gain.
+
+Labels stand on whole texts, of which most windows are ordinary, and passages that several texts share would be
+taken for what their class has in common; they are learned from once. So the toxic dictionary is trained in rounds: a
+first one on all windows of toxic texts; then only on those windows of toxic texts that gain more, by a
+dictionary trained on other texts than theirs, than ordinary windows do. Nothing but compressed lengths chooses.
+
+A text is judged by how many windows reach each gain, against the rates of toxic and of ordinary labelled texts
+that the dictionaries have not seen, as a likelihood ratio in which the density of toxic windows is free. The
+chance of the label by that ratio is calibrated on the same unseen texts and never falls (pooled violators).
+
+The classifier is fitted on a bounded sample, TOXIC_TEXTS and ORDINARY_TEXTS of lowest id hash, whole texts all;
+every whole text is scored. Windows that hold no GRAM letters of the toxic dictionary that the ordinary one lacks
+have no gain and are not compressed.
+
+Defined results: null and empty texts have no window; without labels of both kinds every score is the share of
+toxic labels (0 without any); texts of any length are scored whole; repeated rows are scored alike; rows of null
+doc_id are held out and scored; other columns are not read, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
-import pandas as pd
-import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 
 from parcela.llm.common import table
 from parcela.llm.labelled import scored, training_sample
 
-TOXIC_TEXTS, ORDINARY_TEXTS = 2400, 4800
-ORDINARY_BYTES, TOXIC_BYTES = 2048, 1024
-SHINGLE = 5
-#: A word marks toxic texts if its share of them is so many times its share of ordinary ones.
-CONTRAST = 8.0
-#: A text's strength is the sum of its hits' shares; the chance of a label is calibrated for each step of it.
-STEPS = (1e-9, 0.45, 0.55, 0.75, 1.1, 1.6, 2.5)
+TOXIC_TEXTS, ORDINARY_TEXTS = 600, 1200
+ORDINARY_BYTES, TOXIC_BYTES, FIRST_BYTES = 112_000, 3_000, 112_000
+WINDOW, LEARNED_WINDOW = 2, 8
+GRAM = 6
+COPIED = 5
+#: Windows of toxic texts are learned from if at most one in so many ordinary windows gains as much.
+RARE = 500
+ROUNDS, FOLDS = 3, 3
+GAINS = range(3, 13)
+#: Densities of toxic windows that a text is tried for, as multiples of that of the labelled texts.
+DENSITIES = (0.03, 0.1, 0.3, 1.0, 3.0)
 THRESHOLD = 0.7
-EDGES = b".,;:!?#*$%&|\"'()<>[]{}"
-CACHE_WORDS = 200_000
-#: Lazy matching with no match under five bytes: what toxic words save then stands clear of chance matches.
-PARAMETERS = {"strategy": zstd.STRATEGY_LAZY2, "min_match": 5, "search_log": 8, "target_length": 64, "window_log": 13, "hash_log": 13, "chain_log": 13}
+FRAME = b" of the and to in that is it for with on as are this "
+PARAMETERS = {"strategy": zstd.STRATEGY_BTOPT, "min_match": 4, "search_log": 8, "target_length": 64, "window_log": 17, "hash_log": 17, "chain_log": 17}
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased words without marks at their edges."""
-    return [w for w in (x.strip(EDGES) for x in (text or "").lower().encode("utf-8", "replace").split()) if w]
+def plain(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
 
 
-def apart(texts: Iterable[str]) -> list[str]:
-    """The texts without those that share their lowest or highest shingle hash with an earlier one (near copies)."""
-    seen: set[int] = set()
-    out = []
+def windows(text: str, words: int, step: int) -> list[bytes]:
+    w = text.encode("utf-8", "replace").split(b" ") if text else []
+    return [b" " + b" ".join(w[i : i + words]) + b" " for i in range(0, max(1, len(w) - words + 1), step)] if w else []
+
+
+def without_copies(texts: Iterable[str]) -> Iterator[str]:
+    """The texts without the passages (shingles of COPIED words) that an earlier one holds; nothing for what is left of copies."""
+    met: set[int] = set()
     for text in texts:
-        w = words(text)
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + SHINGLE])) for i in range(max(1, len(w) - SHINGLE + 1))]
-        ends = {min(hashes), max(hashes)}
-        if not ends & seen:
-            out.append(text)
-        seen |= ends
-    return out
-
-
-def marking_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words that mark toxic texts, greedily by what they cover; a text counts half as much each time it is covered."""
-    sets = [set(words(t)) for t in toxic]
-    inside = Counter(w for s in sets for w in s)
-    outside = Counter(w for t in ordinary for w in set(words(t)) if w in inside)
-    where = defaultdict(list)
-    for i, s in enumerate(sets):
-        for w in s:
-            if inside[w] >= 3 and inside[w] / len(toxic) > CONTRAST * (outside[w] + 0.5) / len(ordinary):
-                where[w].append(i)
-    weight, out = np.ones(len(toxic)), []
-    while where:
-        best = max(where, key=lambda w: (weight[where[w]].sum(), w))
-        if weight[where[best]].sum() < max(3.0, 0.005 * len(toxic)):
-            break
-        out.append(best)
-        weight[where.pop(best)] *= 0.5
-    return out
+        words = text.split(" ")
+        hashes = [hash(tuple(words[i : i + COPIED])) for i in range(max(1, len(words) - COPIED + 1))]
+        again = np.zeros(len(words) + 1, dtype=int)
+        for i, h in enumerate(hashes):
+            if h in met:
+                again[i] += 1
+                again[min(i + COPIED, len(words))] -= 1
+        met.update(hashes)
+        own = [w for w, n in zip(words, np.cumsum(again).tolist(), strict=False) if n == 0]
+        if len(own) >= COPIED:
+            yield " ".join(own)
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the samples, or the samples themselves where they are too few to train on."""
+    try:
+        return zstd.train_dictionary(size, samples).as_bytes() + FRAME
+    except zstd.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:] + FRAME
+
+
+def compressor(dictionary: bytes):
+    parameters = zstd.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **PARAMETERS)
+    content = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(compression_params=parameters)
+    return zstd.ZstdCompressor(dict_data=content, compression_params=parameters).compress
 
 
 class Gains:
-    """Bytes that the toxic dictionary saves on a window."""
+    """The gains of a text's windows."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.frame = ordinary[-24:]
-        self.with_toxic, self.without = self.compressor(toxic + ordinary), self.compressor(ordinary)
-        self.parts = {toxic[i : i + 5] for i in range(len(toxic) - 4)}  # what no match can do without
-        self.cache: dict[bytes, int] = {}
-
-    @staticmethod
-    def compressor(raw: bytes):
-        parameters = zstd.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **PARAMETERS)
-        dictionary = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(compression_params=parameters)
-        return zstd.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
-
-    def __call__(self, word: bytes) -> int:
-        if (gain := self.cache.get(word)) is None:
-            window, gain = b" " + word + b" ", 0
-            if any(window[i : i + 5] in self.parts for i in range(len(window) - 4)):
-                framed = self.frame + window + self.frame
-                gain = len(self.without(framed)) - len(self.with_toxic(framed))
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = gain
-        return gain
+        self.with_toxic, self.with_ordinary = compressor(toxic), compressor(ordinary)
+        grams = lambda d: {t[i : i + GRAM] for t in [d.decode("utf-8", "ignore")] for i in range(len(t) - GRAM + 1)}
+        self.own = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for gram in grams(toxic) - grams(ordinary):
+            self.own.add_word(gram)
+        self.own.make_automaton()
+
+    def gain(self, window: bytes) -> int:
+        framed = FRAME[-24:] + window + FRAME[-24:]
+        return len(self.with_ordinary(framed)) - len(self.with_toxic(framed))
+
+    def starts(self, text: str) -> list[int]:
+        """Where windows start that hold grams of the toxic dictionary alone; text stands between spaces."""
+        if not len(self.own):
+            return []
+        out: set[int] = set()
+        for end, _ in self.own.iter(text):
+            at = text.rfind(" ", 0, end - GRAM + 2)  # the space before the gram, or at its start
+            at = max(at, 0)
+            for _ in range(WINDOW):
+                out.add(at)
+                at = text.rfind(" ", 0, at)
+                if at < 0:
+                    break
+        return sorted(out)
+
+    def found(self, text: str) -> list[tuple[int, bytes]]:
+        """(gain, window) of each window of positive gain."""
+        spaced, out = f" {text} ", []
+        for start in self.starts(spaced):
+            end = start
+            for _ in range(WINDOW):
+                if (after := spaced.find(" ", end + 1)) < 0:
+                    break
+                end = after
+            window = spaced[start : end + 1].encode("utf-8", "replace")
+            if (g := self.gain(window)) > 0:
+                out.append((g, window))
+        return out
+
+    def counts(self, text: str) -> np.ndarray:
+        """Number of windows by gain (those of the last gain and more together), and of all windows, last."""
+        out = np.zeros(len(GAINS) + 1)
+        out[-1] = text.count(" ") + 1 if text else 0
+        for g, _ in self.found(text):
+            if g >= GAINS[0]:
+                out[min(g, GAINS[-1]) - GAINS[0]] += 1
+        return out
 
 
 @dataclass
 class Model:
     toxic: bytes = b""
     ordinary: bytes = b""
-    least_bytes: int = 1
-    least_share: float = 0.0
+    ratio: np.ndarray | None = None  # of the rates of toxic and of ordinary texts, by gain
+    rate: float = 0.0  # of windows with a gain in toxic texts
+    steps: tuple[float, ...] = ()
     chances: tuple[float, ...] = (0.0,)
 
+    def strength(self, counts: np.ndarray) -> float:
+        """The largest log likelihood ratio over the densities tried; 0 without a window that gains."""
+        return max(0.0, *(float(counts[:-1] @ np.log1p(d * self.ratio) - counts[-1] * d * self.rate) for d in DENSITIES))
+
     def scores(self, texts: Iterable[str | None]) -> Iterator[float]:
-        if not self.toxic:
-            yield from (self.chances[0] for _ in texts)
-            return
-        gains = Gains(self.toxic, self.ordinary)
+        gains = Gains(self.toxic, self.ordinary) if self.toxic else None
         for text in texts:
-            shares = [g / (len(w) + 2) for w in words(text) if (g := gains(w)) >= self.least_bytes]
-            yield self.chances[bisect_right(STEPS, sum(x for x in shares if x >= self.least_share))]
+            yield self.chances[bisect_right(self.steps, self.strength(gains.counts(plain(text)))) if gains else 0]
 
 
-def chances(steps: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, ...]:
-    """Chance of a toxic label by step, for texts of which `share` are toxic; it never falls with the strength."""
-    out = []
-    for k in range(len(STEPS) + 1):
-        here = steps == k
-        a = (here & toxic).sum() / max(1, toxic.sum()) * share
-        b = (here & ~toxic).sum() / max(1, (~toxic).sum()) * (1 - share)
-        out.append((a + share / max(2, len(steps))) / (a + b + 1 / max(2, len(steps))))
-    return tuple(float(x) for x in np.maximum.accumulate(out))
-
-
-def trained(windows: list[bytes], size: int) -> bytes:
-    """A dictionary trained on the windows, or the windows themselves where they are too few to train on."""
-    try:
-        return zstd.train_dictionary(size, windows).as_bytes()
-    except zstd.ZstdError:
-        return b"".join(dict.fromkeys(windows))[-size:] or b" "
+def pooled(strength: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Steps of strength and the chance of a toxic label between them, never falling."""
+    blocks: list[list[float]] = []  # least strength, weight of toxic, weight of all
+    for s in np.unique(strength):
+        at = strength == s
+        blocks.append([float(s), float(weights[at & toxic].sum()), float(weights[at].sum())])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            _, a, b = blocks.pop()
+            blocks[-1][1] += a
+            blocks[-1][2] += b
+    one = float(weights.mean()) / 2  # half a text of either label, so that no chance is 0 or 1
+    return tuple(b[0] for b in blocks[1:]), tuple((a + one / 2) / (b + one) for _, a, b in blocks)
 
 
 def fit(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
-    """Dictionaries from two thirds of the sample; thresholds and chances from the rest."""
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    known = {y: apart(t for t, label in sample if label == y) for y in (0, 1)}
-    if not known[0] or not known[1]:
-        return Model()
-    third = lambda t: zlib.crc32(t.encode("utf-8", "replace")) % 3 == 0
-    learn = {y: [t for t in known[y] if not third(t)] or known[y] for y in known}
-    marks = set(marking_words(learn[1], learn[0]))
-    toxic = [b" " + w + b" " for t in learn[1] for w in words(t) if w in marks]
-    ordinary = [b" ".join([b"", *w[i : i + 8], b""]) for t in learn[0][:1000] for w in [words(t)] for i in range(0, len(w), 8)]
-    if not toxic:
+    toxic_texts, texts = (list(without_copies(plain(t) for t, label in sample if label == y and t)) for y in (1, 0))
+    parts = [toxic_texts[k::FOLDS] for k in range(FOLDS)]
+    known, unseen = [t for i, t in enumerate(texts) if i % FOLDS], texts[::FOLDS]
+    if not known or not unseen or sum(map(bool, parts)) < 2:
         return Model(chances=(share,))
-    model = Model(trained(toxic, TOXIC_BYTES), trained(ordinary[:40_000], ORDINARY_BYTES))
-    left_out = [w for w, _ in Counter(toxic).most_common() if w not in model.toxic]  # short windows that the trainer has no room for
-    model.toxic += b"".join(reversed(left_out[: TOXIC_BYTES // 8]))
-    rest = [(t, y) for y in known for t in known[y] if third(t)] or [(t, y) for y in known for t in known[y]]
-    labels, gains = np.array([y == 1 for _, y in rest]), Gains(model.toxic, model.ordinary)
-    windows = [np.array([(g, g / (len(w) + 2)) for w in words(t) if (g := gains(w)) > 0]).reshape(-1, 2) for t, _ in rest]
-    best = None
-    for least_bytes in (1, 2, 3, 4):
-        for least_share in (0.0, 0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55):
-            strength = [w[(w[:, 0] >= least_bytes) & (w[:, 1] >= least_share), 1].sum() for w in windows]
-            steps = np.searchsorted(STEPS, strength, side="right")
-            p = np.array(chances(steps, labels, share))
-            at = p[steps]
-            weights = np.where(labels, share / max(1, labels.sum()), (1 - share) / max(1, (~labels).sum()))
-            loss = -(weights * np.log(np.where(labels, at, 1 - at).clip(1e-6))).sum()
-            if best is None or loss < best[0]:
-                best = (loss, least_bytes, least_share, tuple(p.tolist()))
-    model.least_bytes, model.least_share, model.chances = best[1:]
+    ordinary = trained([w for t in known for w in windows(t, LEARNED_WINDOW, LEARNED_WINDOW)], ORDINARY_BYTES)
+    n_unseen = sum(t.count(" ") + 1 for t in unseen)
+    learned = [[w for t in part for w in windows(t, LEARNED_WINDOW, LEARNED_WINDOW)] for part in parts]
+    dictionaries = []
+    for turn in range(ROUNDS):
+        dictionaries, picked = [], []
+        for k in range(FOLDS):
+            others = [w for j in range(FOLDS) if j != k for w in learned[j]]
+            dictionaries.append(b"".join(others)[-FIRST_BYTES:] + FRAME if turn == 0 else trained(others, TOXIC_BYTES))
+            gains = Gains(dictionaries[k], ordinary)
+            seen = sorted((g for t in unseen for g, _ in gains.found(t)), reverse=True)
+            most = n_unseen // RARE
+            least = max(GAINS[0], seen[most] + 1 if len(seen) > most else 0)
+            picked.append([w for t in parts[k] for g, w in gains.found(t) if g >= least])
+        if sum(map(bool, picked)) < 2:
+            break
+        learned = picked
+    toxic = trained([w for part in learned for w in part], TOXIC_BYTES)
+    dictionaries = [trained([w for j in range(FOLDS) if j != k for w in learned[j]], TOXIC_BYTES) for k in range(FOLDS)]
+    of_toxic = [c for k in range(FOLDS) for gains in [Gains(dictionaries[k], ordinary)] for c in map(gains.counts, parts[k])]
+    gains = Gains(toxic, ordinary)
+    of_ordinary = [gains.counts(t) for t in unseen]
+    a, b = np.sum(of_toxic, axis=0), np.sum(of_ordinary, axis=0)
+    rate_a, rate_b = (a[:-1] + 0.5) / max(1, a[-1]), (b[:-1] + 0.5) / max(1, b[-1])
+    model = Model(toxic, ordinary, rate_a / rate_b, float(rate_a.sum()))
+    strength = np.array([model.strength(c) for c in (*of_toxic, *of_ordinary)])
+    is_toxic = np.arange(len(strength)) < len(of_toxic)
+    weights = np.where(is_toxic, share / len(of_toxic), (1 - share) / len(of_ordinary))
+    model.steps, model.chances = pooled(strength, is_toxic, weights)
     return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = fit(*training_sample(docs, labels, "toxic", {1: TOXIC_TEXTS, 0: ORDINARY_TEXTS}))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": list(model.scores(batch["text"]))}, columns=["doc_id", "score"])
-
-    return scored(docs, score, threshold)
+    return scored(docs, model.scores, threshold)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

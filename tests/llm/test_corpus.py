@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures, and on hard rows: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -114,7 +115,6 @@ def test_op7_pieces_and_sequences(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     out = queries.QUERIES["op7_packing"](spark, SF).toPandas()
     ids = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in zip(docs.doc_id, docs.text)}
     for i, g in out.sort_values("piece").groupby("doc_id"):
@@ -135,6 +135,15 @@ def test_op7_layouts_hold_every_length(lengths):
     assert Counter(x for layout, n in plan for x in layout for _ in range(n)) == Counter(lengths)
 
 
+def test_op7_added_tokens_get_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, ours = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), packing.encoder(packing.default_tokenizer())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "é  <|endoftext|>ß", "plain"):
+        assert ours(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_op7_hard_rows(spark):
     out = packing.pack_documents(hard(spark))
     assert out.where("doc_id = 1").first()["length"] == 1 and out.where("doc_id = 5").count() == 2
@@ -179,15 +188,21 @@ def test_op5_crowded_keys_lose_no_link(spark):
     base = int(random.integers(1 << 62))
     values = [base ^ (1 << int(random.integers(64))) ^ (1 << int(random.integers(64))) ^ (1 << int(random.integers(24))) for _ in range(300)] + [int(x) for x in random.integers(1 << 62, size=200)]
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(i, [v]) for i, v in enumerate(signed)], "doc_id long, print array<long>")
-    found = {tuple(r["print"]): r["component_id"] for r in simhash.grouped(df, simhash.exact()).collect()}
+    df = spark.createDataFrame(list(enumerate(signed)), "doc_id long, print long")
+    found = {r["print"]: r["component_id"] for r in simhash.grouped(df).collect()}
     want = classes(list(range(len(values))), lambda a, b: bin(values[a] ^ values[b]).count("1") <= 2)
-    assert all(found[(v,)] == want[i] for i, v in enumerate(signed))
+    assert all(found[v] == want[i] for i, v in enumerate(signed))
+
+
+def test_op5_six_positions_hold_three_sets():
+    assert len(simhash.POSITIONS) == 14
+    for agree in itertools.combinations(range(8), 6):
+        assert sum(set(p) <= set(agree) for p in simhash.POSITIONS) == simhash.LEAST_LISTS
 
 
 def test_op5_hard_rows(spark):
-    prints = simhash.fingerprints(hard(spark), simhash.exact())
-    assert prints.where("doc_id <= 3").selectExpr("print[0] AS p").distinct().collect()[0]["p"] == 0
+    prints = simhash.fingerprints(hard(spark))
+    assert prints.where("doc_id <= 3").select("print").distinct().collect()[0]["print"] == 0
     kept = simhash.drop_near_duplicates(hard(spark))
     assert kept.columns == hard(spark).columns and kept.where("doc_id in (5, 6)").count() == 1
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
@@ -234,11 +249,24 @@ def test_pipeline_finds_near_copies_in_a_crowd_of_one_passage(spark):
     assert kept == naive_kept(rows) == [2 * i for i in range(150)]
 
 
-@pytest.mark.parametrize("edits", [4, 5, 6, 7])
-def test_pipeline_links_by_exact_similarity(spark, edits):
-    rows = near_rows(0, 230, 60, edits, edits)
-    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert kept == naive_kept(rows)
+def test_pipeline_links_by_similarity(spark):
+    """By bands of exact similarity: how many pairs are joined. None below 0.8, and nearly all from there on."""
+    random = np.random.default_rng(4)
+    rows, similarity = [], {}
+    for i in range(1200):
+        words = [f"w{int(x)}" for x in random.integers(10**6, size=int(random.integers(60, 400)))]
+        other = list(words)
+        for k in range(max(1, round(len(words) * random.uniform(0.005, 0.05)))):
+            other[int(random.integers(len(words)))] = f"e{i}x{k}"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other))
+        similarity[i] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    joined = {i: 2 * i + 1 not in kept for i in similarity}
+    share = lambda low, high: np.mean([joined[i] for i, s in similarity.items() if low <= s < high])
+    print({(low, high): (share(low, high), sum(low <= s < high for s in similarity.values())) for low, high in ((0, 0.75), (0.75, 0.8), (0.8, 0.85), (0.85, 0.9), (0.9, 1.01))})
+    assert all(2 * i in kept for i in similarity) and share(0, 0.8) == 0
+    assert share(0.8, 0.85) >= 0.95 and share(0.85, 1.01) >= 0.995
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -278,6 +306,57 @@ def test_op6_revealing_terms(spark):
     assert "zanzibarov" not in clean[1001] and "<EMAIL>" in clean[1001] and clean[3] == dict(rows)[3]
 
 
+def test_op6_terms_are_generalised():
+    text = "ask Zanzibarov about unit 77 in b4x near quarry"
+    spans = [("term", text.index(w), text.index(w) + len(w)) for w in ("Zanzibarov", "77", "b4x", "quarry")] + [("removed", 0, 3)]
+    assert pii.masked(text, spans) == " <NAME> about unit <NUMBER> in <CODE> near <WORD>"
+
+
+@given(st.lists(st.sampled_from(["ab", "long" * 40, "é", "x"]), max_size=12), st.integers(0, 400), st.integers(0, 40))
+@settings(max_examples=200, deadline=None)
+def test_op6_context_is_whole_words(words, start, length):
+    text = " ".join(words)
+    start = min(start, len(text))
+    end = min(start + length, len(text))
+    left, right = pii.around(text, start, end)
+    assert left == WORD.findall(text[:start])[-pii.CONTEXT :] and right == WORD.findall(text[end:])[: pii.CONTEXT]
+
+
+def naive_disclosing(rows):
+    """Terms by document, from the definition: share of an entity's distinct windows over chance, of its information."""
+    words = sum(len(WORD.findall(t)) for _, t in rows)
+    n = Counter(x for _, t in rows for w in WORD.findall(t) if (x := pii.term(w)))
+    windows, holders = defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        for kind, a, b in naive_spans(t):
+            e = f"{kind}:{t[a:b].lower()}"
+            near = [x for w in (*WORD.findall(t[:a])[-4:], *WORD.findall(t[b:])[:4]) if "@" not in w and (x := pii.term(w))]
+            windows[e].add(tuple(near))
+            holders[i].add(e)
+    scale, terms = max(1.0, words / 8), defaultdict(set)
+    for e, seen in windows.items():
+        for x in {x for w in seen for x in w}:
+            c = sum(x in w for w in seen)
+            content = -np.log2(min(1.0, len(seen) / scale))
+            if c >= 2 and content > 0 and np.log2(c / len(seen) / min(1.0, max(n[x], c) / scale)) / content >= 0.8:
+                terms[e].add(x)
+    return {i: set().union(*(terms[e] for e in es)) for i, es in holders.items() if any(terms[e] for e in es)}
+
+
+def test_op6_terms_against_the_definition(spark):
+    random = np.random.default_rng(6)
+    names = [f"name{k}" for k in range(12)]
+    rows = []
+    for i in range(160):
+        words = [f"w{int(x)}" for x in random.integers(60, size=20)]
+        if i % 2:
+            k = int(random.integers(12))
+            words[8:8] = [names[k] if random.random() < 0.8 else "somebody", "at", f"m{k}@mail.example.com"]
+        rows.append((i, " ".join(words)))
+    found = {r.doc_id: {m.lstrip("!") for m in r.terms} for r in pii.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == naive_disclosing(rows) and len(found) > 40
+
+
 def test_op6_many_terms_are_counted_as_few(spark, monkeypatch):
     rows = [(k, f"common{k % 7} filler{k % 5} text and nothing else stands here") for k in range(300)]
     rows += [(1000 + k, f"common{k} ask (Zanzibarov!) at z.ov@mail.example.com about filler{k}") for k in range(5)]
@@ -290,6 +369,28 @@ def test_op6_many_terms_are_counted_as_few(spark, monkeypatch):
     assert many == few and sum("removed:" in r[-1] or "term:" in r[-1] for r in many) == 5
 
 
+BIG = 2**53 + 1
+
+
+def wide(spark):
+    """Ids beyond 2^53, a null among them, and a nullable long column that must pass through whole."""
+    rows = [(BIG, "mail a@b.co of the first text that stands here with enough words", BIG + 2), (None, "another text without an id", None), (BIG + 4, None, BIG + 6), (BIG + 8, "plain words and nothing else in this one, of which there are enough", None)]
+    return spark.createDataFrame([(i, t, "en", "s", 1, x) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, extra long")
+
+
+def test_ids_and_longs_beside_nulls_stay_whole(spark):
+    df, known = wide(spark), labels(spark)
+    ids = {BIG, None, BIG + 4, BIG + 8}
+    outs = [pii.find_pii(df), packing.pack_documents(df), licenses.scan(df), toxicity.score_toxicity(df, known), quality_classifier.score_quality(df, known), simhash.fingerprints(df), mixing.mix_plan(df), sharding.shard_documents(df)]
+    assert all({r.doc_id for r in out.select("doc_id").collect()} == ids for out in outs)
+    counted, _ = quality_rules.with_statistics(df)
+    pairs = {(BIG, BIG + 2), (None, None), (BIG + 4, BIG + 6), (BIG + 8, None)}
+    for out in (pii.sanitise(df), counted, simhash.drop_near_duplicates(df), mixing.mix(df)):
+        assert {(r.doc_id, r.extra) for r in out.select("doc_id", "extra").collect()} <= pairs
+    assert {(r.doc_id, r.extra) for r in pii.sanitise(df).collect()} == pairs
+    assert {(r.doc_id, r.extra) for r in quality_rules.keep_good(df, known).collect()} == {(BIG, BIG + 2), (BIG + 8, None)}
+
+
 def test_op6_hard_rows(spark):
     out = pii.find_pii(hard(spark))
     row = out.where("doc_id = 7").first()
@@ -331,6 +432,44 @@ def test_op2_toxic_words_are_found(spark):
     assert test[test.y].predicted.mean() >= 0.9 and test[~test.y].predicted.mean() <= 0.02
 
 
+def test_op2_counts_are_those_of_all_windows():
+    """Windows without an own gram of the toxic dictionary are left out by definition; all others are compressed once."""
+    gains = toxicity.Gains(b" you clown and idiot " + toxicity.FRAME, b" ordinary words stand here " + toxicity.FRAME)
+    own = {g for t in (" you clown and idiot ",) for g in (t[i : i + toxicity.GRAM] for i in range(len(t) - toxicity.GRAM + 1))}
+    for text in ("", "clown", "a clown said", "the idiot and clown met ordinary words here", "nothing of the kind stands here"):
+        want = sorted((g, w) for w in toxicity.windows(text, 2, 1) if any(w.decode()[i : i + 6] in own for i in range(len(w) - 5)) and (g := gains.gain(w)) > 0)
+        assert sorted(gains.found(text)) == want
+
+
+def naive_features(text):
+    words = WORD.findall(text or "")
+    out = []
+    for i, w in enumerate(words):
+        framed = b"\0" + w.encode() + b"\0"
+        out += [(i, g) for n in (3, 4) for g in (framed[k : k + n] for k in range(len(framed) - n + 1))]
+        out.append((i, b"word " + w.encode()))
+        if i and w == words[i - 1]:
+            out.append((i, b"repeat"))
+    return out, len(words)
+
+
+@given(st.text(alphabet="abé \n\t\u3000", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_op9_features(text):
+    buckets, word, n = quality_classifier.features(text)
+    want, n_words = naive_features(text)
+    assert n == n_words and sorted(word.tolist()) == sorted(i for i, _ in want)
+    assert len(set(buckets.tolist())) == len({g for _, g in want})
+
+
+def test_op9_held_out_labels_are_not_read(spark):
+    d, known = spark.read.parquet(f"{SF}/documents.parquet"), labels(spark)
+    turned = known.withColumn("quality", F.when(labelled.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    score = lambda x: sorted((r.doc_id, r.score) for r in quality_classifier.score_quality(d, x).collect())
+    assert score(known) == score(turned)
+    assert quality_rules.learn_rules(d, known) == quality_rules.learn_rules(d, turned)
+
+
 def test_op9_held_out_accuracy(spark):
     out = queries.QUERIES["op9_quality_classifier"](spark, SF).toPandas().merge(labels(spark).toPandas(), on="doc_id")
     test = out[out.held_out]
@@ -394,15 +533,40 @@ def test_op8_notices_and_hard_rows(spark):
     assert licenses.scan(hard(spark)).count() == 10 and licenses.scan(empty(spark)).count() == 0
 
 
-def test_op8_pruning_changes_nothing(docs):
+def naive_passages(scanner, text):
+    """Every run of words against every template; of overlapping ones the best."""
+    words = licenses.normalised(text)
+    pairs, found = list(zip(words, words[1:])), []
+    for k, wanted in enumerate(scanner.templates):
+        most = int(len(wanted) / scanner.low + 1e-9)
+        for a in range(len(pairs)):
+            for b in range(a + 1, min(len(pairs), a + most) + 1):
+                passage = set(pairs[a:b])
+                dice = 2 * len(passage & wanted) / (len(passage) + len(wanted))
+                if dice >= scanner.least:
+                    found.append((-dice, a, k, b))
+    return found
+
+
+TEXTS_WITH_NOTICES = [
+    "some prose. Released under the MIT License. More prose of that kind follows here", "Licensed under the Apache\nLicense, Version 2.0. Terms of the deal", "of the of the of the", "",
+    "Released under the MIT License. " * 3, "This work is licensed under a Creative Commons Attribution 4.0 International License. It is licensed under the GNU General Public License, version 3.",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS_WITH_NOTICES)
+def test_op8_against_all_runs_of_words(text):
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    every, found = naive_passages(scanner, text), scanner(text)
+    assert bool(every) == bool(found)
+    if every:
+        assert max(d for _, d in found) == -min(every)[0]
+
+
+def test_op8_long_texts():
     scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
-    wanted = [(n, licenses.bigrams(licenses.normalised(t))) for n, t in sorted(licenses.TEMPLATES.items())]
-    for text in docs.text:
-        for line in text.split("\n"):
-            found = licenses.bigrams(licenses.normalised(line))
-            full = max(((2 * len(found & w) / max(1, len(found) + len(w)), n) for n, w in wanted), key=lambda p: p[0])
-            pruned = scanner.best(found)
-            assert pruned[0] == full[0] if full[0] >= 0.8 else pruned[0] < 0.8
+    assert len(scanner("Released under the MIT License.\n" * 5000)) == 5000
+    assert scanner("of the terms of the license " * 20_000) == []
 
 
 def test_pipeline_stages(spark):
