@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,22 @@ def access(distance: Column, scale: float) -> Column:
     return F.exp(-distance / F.lit(scale))
 
 
+def utm35(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Metres east and north in UTM zone 35 north, by the usual series."""
+    k, a, e = 0.9996, 6378137.0, 0.00669437999014  # scale, radius and squared eccentricity of WGS 84
+    p = F.radians(lat)
+    n = a / F.sqrt(1 - e * F.pow(F.sin(p), 2))
+    t, c, d = F.pow(F.tan(p), 2), e / (1 - e) * F.pow(F.cos(p), 2), (F.radians(lon) - math.radians(27.0)) * F.cos(p)
+    arc = a * ((1 - e / 4 - 3 * e**2 / 64) * p - (3 * e / 8 + 3 * e**2 / 32) * F.sin(2 * p) + (15 * e**2 / 256) * F.sin(4 * p))
+    east = k * n * (d + (1 - t + c) * F.pow(d, 3) / 6) + 500000.0
+    return east, k * (arc + n * F.tan(p) * (F.pow(d, 2) / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(d, 4) / 24))
+
+
+def coast_inverse(distance: Column) -> Column:
+    """1 at the coast, a half a kilometre from it; an unknown distance counts as five."""
+    return 1.0 / (1.0 + F.coalesce(distance, F.lit(5000.0)) / 1000.0)
+
+
 def inside(lat: Column, lon: Column, bounds: tuple[float, float, float, float]) -> Column:
     """Whether a point lies in (south, north, west, east); null coordinates do not."""
     south, north, west, east = bounds

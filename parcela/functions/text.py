@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Letters with marks of the Latin and Turkish alphabets, and their plain letters.
 MARKED, PLAIN = "çğıöşüâîûéèêëáàäãåíìïóòôõúùñ", "cgiosuaiueeeeaaaaaiiioooouun"
 NULL_WORDS = ("", "nan", "none", "null", "-", "belirtilmemiş", "belirtilmemis")
-GENERIC_SUFFIXES = ("sitesi", "sitesı", "site", "evleri", "konutlari", "konaklari", "residence", "rezidans", "apartmani", "apt", "projesi")
+GENERIC_SUFFIXES = ("sitesi", "site", "evleri", "konutlari", "konaklari", "residence", "rezidans", "apartmani", "apt", "projesi")
 STOP_WORDS = ("satilik", "kiralik", "daire", "acil", "firsat", "luks", "sifir")
 
 
@@ -96,13 +96,40 @@ def flags(c: Column, groups: Mapping[str, Sequence[str]]) -> dict[str, Column]:
 
 def strip_suffixes(c: Column) -> Column:
     """A folded name without generic words at its end."""
-    return F.trim(F.regexp_replace(c, r"(\s+(" + "|".join(GENERIC_SUFFIXES) + r"))+$", ""))
+    return F.trim(F.regexp_replace(c, r"((^|\s+)(" + "|".join((*GENERIC_SUFFIXES, "etap")) + r"))+$", ""))
 
 
 def site_stem(c: Column) -> Column:
-    """A site's name as up to six words, without sizes, rooms and stop words; ii becomes 2."""
-    words = F.filter(F.split(strip_suffixes(fold(c)), " "), lambda w: ~w.rlike(r"^([0-9]\+[0-9]|[0-9]+m2|)$") & ~w.isin(*STOP_WORDS))
-    return F.array_join(F.slice(F.transform(words, lambda w: F.when(w == "ii", F.lit("2")).otherwise(w)), 1, 6), " ")
+    """A site's name as up to six words: rooms and sizes go first, then generic words at the end, then stop words; ii becomes 2.
+
+    What leaves no word is `missing`."""
+    bare = F.regexp_replace(F.regexp_replace(fold(c), r"\b[0-9]+\+[0-9]+\b", " "), r"\b[0-9]+\s*m2\b", " ")
+    words = F.filter(F.split(strip_suffixes(F.trim(F.regexp_replace(bare, r"\s+", " "))), " "), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    stem = F.array_join(F.slice(F.transform(words, lambda w: F.when(w.isin("ii", "ii."), F.lit("2")).otherwise(w)), 1, 6), " ")
+    return F.when(F.coalesce(stem, F.lit("")) == "", F.lit("missing")).otherwise(stem)
+
+
+def stem_id(c: Column) -> Column:
+    """A stem as an identifier of letters, digits and underscores; `missing` if nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(fold(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("missing")).otherwise(name)
+
+
+def plain_number(c: Column) -> Column:
+    """A number in which every dot groups thousands and the comma is the decimal mark."""
+    bare = F.regexp_replace(c.cast("string"), "TL|₺|m²|m2", "")
+    return F.regexp_replace(F.translate(bare, ",.", "."), r"[^0-9.\-]", "").try_cast("double")
+
+
+def rooms_number(c: Column) -> Column:
+    """Rooms beside the living room; a lone number stands for itself."""
+    return F.regexp_extract(F.replace(c, F.lit(" "), F.lit("")), r"([0-9]+)", 1).try_cast("double")
+
+
+def rooms_total(c: Column) -> Column:
+    """Rooms and living rooms together; a lone number stands for itself."""
+    room, living = rooms(c)
+    return F.coalesce(room + living, F.regexp_extract(c, r"([0-9]+)", 1).try_cast("double"))
 
 
 def frequency_bucket(c: Column) -> Column:

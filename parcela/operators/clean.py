@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.functions.text import fold, ratio, reasons, rooms
+from parcela.functions.text import fold, ratio, reasons, rooms_number
 from parcela.operators.state import aggregate, attach
 
 MAD_FACTOR = 0.6745
@@ -99,20 +99,41 @@ def staged_reasons(df: DataFrame, value: str, stages: Sequence[tuple[str, Sequen
     return df
 
 
-def anomaly_scores(df: DataFrame, baseline: str) -> DataFrame:
-    """df with `anomaly_score` (0 to 100), `anomaly_reasons` and `anomaly_level`."""
-    share = ratio(F.col("unit_price"), F.col(baseline))
-    df = mad_z(df, F.ln("unit_price"), ["county", "room_count"], "_z", 12)
-    room = rooms(F.col("room_count"))[0]
+def anomaly_rules(baseline: str, count: str | None = None, rent: str | None = None, details: str | None = None) -> dict[str, tuple[Column, float]]:
+    """What makes a sale listing suspicious, and how much each counts. Columns that are not given have no rule.
+
+    `_z` is the group's robust z of the log ratio to the baseline."""
+    price, gross, net = F.col("unit_price"), F.col("gross_m2"), F.col("net_m2")
+    share, room = ratio(price, F.col(baseline)), rooms_number(F.col("room_count"))
     rules = {
-        "below_baseline": (share < 0.6, 25.0), "above_baseline": (share > 1.6, 25.0), "net_over_gross": (F.col("net_m2") > F.col("gross_m2"), 15.0),
-        "net_share_low": (ratio(F.col("net_m2"), F.col("gross_m2")) < 0.75, 8.0), "small_for_rooms": (F.col("gross_m2") < 22 * room, 12.0),
-        "floor_over_top": (F.col("floor_num") > F.col("total_floors"), 10.0), "old": (F.col("building_age") >= 40, 5.0), "far_from_group": (F.abs("_z") > 3.5, 20.0),
+        "anom_baseline_ratio_very_low": (share < 0.6, 18.0), "anom_baseline_ratio_low": ((share >= 0.6) & (share < 0.72), 8.0),
+        "anom_baseline_ratio_high": ((share > 1.55) & (share <= 1.9), 8.0), "anom_baseline_ratio_very_high": (share > 1.9, 18.0),
+        "anom_net_gross_too_low": (ratio(net, gross) < 0.5, 12.0), "anom_net_gross_too_high": (ratio(net, gross) > 1.03, 18.0),
+        "anom_price_unit_mismatch": (ratio(F.abs(ratio(F.col("price"), gross) - price), price) > 0.03, 25.0),
+        "anom_large_room_tiny_m2": ((room >= 4) & (gross < 95), 12.0), "anom_small_room_huge_m2": ((room <= 1) & (gross > 135), 10.0),
+        "anom_very_large_property": (gross > 230, 7.0), "anom_very_small_property": (gross < 45, 7.0),
+        "anom_floor_above_total": ((F.col("total_floors") > 0) & (F.col("floor_num") > F.col("total_floors")), 20.0),
+        "anom_total_floors_extreme": (F.col("total_floors") > 45, 8.0), "anom_building_age_extreme": (F.col("building_age") > 80, 8.0),
     }
+    if count:
+        rules["anom_low_baseline_support"] = (F.col(count) < 5, 8.0)
+    if rent:
+        years = ratio(price, F.col(rent)) / 12
+        rules |= {"anom_amortization_too_low": (years < 8, 10.0), "anom_amortization_too_high": (years > 45, 10.0)}
+    if details:
+        rules["anom_low_detail"] = (F.col(details) <= 3, 5.0)
+    return rules | {"anom_group_mad_extreme": (F.abs("_z") > 3.5, 15.0)}
+
+
+def anomaly_scores(df: DataFrame, baseline: str, count: str | None = None, rent: str | None = None, details: str | None = None) -> DataFrame:
+    """df with `anomaly_score` (0 to 100), `anomaly_reasons` and `anomaly_level`."""
+    share = ratio(F.col("unit_price"), F.col(baseline))
+    df = mad_z(df, F.when(share > 0, F.ln(share)), ["county", "room_count", "m2_group"], "_z", 12)
+    rules = anomaly_rules(baseline, count, rent, details)
     total = sum((F.when(holds(c), F.lit(w)).otherwise(F.lit(0.0)) for c, w in rules.values()), F.lit(0.0))
     df = df.withColumns({"anomaly_score": F.least(F.lit(100.0), total), "anomaly_reasons": reasons({n: c for n, (c, _) in rules.items()})}).drop("_z")
     s = F.col("anomaly_score")
-    return df.withColumn("anomaly_level", F.when(s <= 9.9, "normal").when(s <= 24.9, "watch").when(s <= 44.9, "high").otherwise("exclude"))
+    return df.withColumn("anomaly_level", F.when(s <= 9.9, "normal").when(s <= 24.9, "review").when(s <= 44.9, "high_risk").otherwise("exclude_candidate"))
 
 
 def suspicious(df: DataFrame, conditions: Mapping[str, Column], columns: Sequence[str]) -> DataFrame:

@@ -61,16 +61,17 @@ def segment_layer(df: DataFrame, target: str, p: str, segment: Column, expert: s
 
 
 def calibrate_quantiles(df: DataFrame, target: str, p: str, folds: int, points: int = 20, share: float = 0.5, cap: float = 0.1) -> DataFrame:
-    """df with `calibrated` half way from a prediction to the actual value of the same quantile in the other folds."""
-    grid = F.array(*(F.lit(i / points) for i in range(points + 1)))
-    state = aggregate(to_other_folds(df, folds), ["fold"], _x=F.percentile(F.ln(p), grid), _y=F.percentile(F.ln(target), grid))
+    """df with `calibrated` half way from a prediction to the actual value of the same quantile (0.05 to 0.95) in the other
+    folds; beyond these the end points stand, and folds of fewer than 40 rows correct nothing."""
+    grid = F.array(*(F.lit(0.05 + 0.9 * i / (points - 1)) for i in range(points)))
+    state = aggregate(to_other_folds(df, folds), ["fold"], _x=F.percentile(F.ln(p), grid), _y=F.percentile(F.ln(target), grid), _n=F.count("*")).where("_n >= 40")
     x = F.ln(F.col(p))
     out = attach(df, state, ["fold"])
-    at = F.greatest(F.lit(1), F.least(F.lit(points), F.size(F.filter("_x", lambda e: e <= x))))
+    at = F.greatest(F.lit(1), F.least(F.lit(points - 1), F.size(F.filter("_x", lambda e: e <= x))))
     low, high, a, b = F.element_at("_x", at), F.element_at("_x", at + 1), F.element_at("_y", at), F.element_at("_y", at + 1)
     place = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0))))
     mapped = a + place * (b - a)
-    return out.withColumn("calibrated", capped(F.col(p), x + share * (mapped - x), cap)).drop("_x", "_y")
+    return out.withColumn("calibrated", capped(F.col(p), x + share * (mapped - x), cap)).drop("_x", "_y", "_n")
 
 
 def comparable_features(df: DataFrame, similar: DataFrame, id_: str, value: str, fallback_keys: Sequence[str]) -> DataFrame:

@@ -23,10 +23,11 @@ def spread_stats(df: DataFrame, value: str, keys: Sequence[str], prefix: str) ->
     })
 
 
-def fallback(df: DataFrame, state_of: DataFrame, value: str, levels: Sequence[tuple[str, Sequence[str], int]], name: str) -> DataFrame:
+def fallback(df: DataFrame, state_of: DataFrame, value: str, levels: Sequence[tuple[str, Sequence[str], int]], name: str, most: bool = False) -> DataFrame:
     """df with the median of `value` at the first level that has enough rows, the level's name, and the number of rows.
 
-    Levels are (name, keys, least rows), narrow to wide; a level without keys is the whole table."""
+    Levels are (name, keys, least rows), narrow to wide; a level without keys is the whole table. With `most` the
+    number is the largest of all levels that have keys."""
     marks: list[tuple[str, Column, Column]] = []
     for level, keys, least in levels:
         state = aggregate(state_of, keys, **{f"_m_{level}": F.median(value), f"_n_{level}": F.count(value)})
@@ -35,16 +36,17 @@ def fallback(df: DataFrame, state_of: DataFrame, value: str, levels: Sequence[tu
     out = df.withColumns({
         name: F.coalesce(*(F.when(ok, m) for _, ok, m in marks)),
         f"{name}_level": F.coalesce(*(F.when(ok, F.lit(level)) for level, ok, _ in marks), F.lit("none")),
-        f"{name}_count": F.coalesce(*(F.when(ok, F.col(f"_n_{level}")) for level, ok, _ in marks), F.lit(0)),
+        f"{name}_count": F.greatest(*(F.coalesce(f"_n_{level}", F.lit(0)) for level, keys, _ in levels if keys)) if most else F.coalesce(*(F.when(ok, F.col(f"_n_{level}")) for level, ok, _ in marks), F.lit(0)),
     })
     return out.drop(*(f"_{x}_{level}" for level, _, _ in levels for x in "mn"))
 
 
 def rent_features(sales: DataFrame, rentals: DataFrame) -> DataFrame:
-    """Estimated rent a square metre, its level and confidence, and years to earn the price back."""
+    """Estimated rent a square metre from the narrowest level that has any, its level, the largest number of rentals at
+    any level below the whole table, a confidence from it (full at 30), and years to earn the price back."""
     per_m2 = rentals.withColumn("rent_m2", ratio(F.col("monthly_rent"), F.col("gross_m2")))
-    levels = [("room", ["county", "district", "room_count"], 3), ("district", ["county", "district"], 3), ("county", ["county"], 3), ("all", [], 1)]
-    out = fallback(sales, per_m2, "rent_m2", levels, "rent")
+    levels = [("district_room", ["county", "district", "room_count"], 1), ("district_m2_group", ["county", "district", "m2_group"], 1), ("district", ["county", "district"], 1), ("county", ["county"], 1), ("global", [], 1)]
+    out = fallback(sales, per_m2, "rent_m2", levels, "rent", most=True)
     years = ratio(F.col("price"), 12 * F.col("rent") * F.col("gross_m2"))
     return out.withColumns({"rent_confidence": F.least(F.col("rent_count"), F.lit(30)) / 30.0, "amortization_years": years})
 

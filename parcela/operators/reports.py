@@ -17,7 +17,7 @@ def metric_columns(y: str, p: str) -> dict[str, Column]:
     """Rows, determination (plain and of logarithms), relative and absolute errors, in one pass."""
     a, b = F.col(y), F.col(p)
     relative = ratio(F.abs(b - a), a)
-    la, lb = F.ln(a), F.ln(F.greatest(F.lit(1.0), b))
+    la, lb = F.log1p(a), F.log1p(F.greatest(F.lit(0.0), b))
     return {
         "rows": F.count("*"), "r2": 1 - ratio(F.sum(F.pow(a - b, 2)), F.var_pop(a) * F.count(a)), "log_r2": 1 - ratio(F.sum(F.pow(la - lb, 2)), F.var_pop(la) * F.count(la)),
         "mape": F.avg(relative), "median_ape": F.median(relative), "mae": F.avg(F.abs(b - a)), "median_ae": F.median(F.abs(b - a)),

@@ -9,28 +9,97 @@ from pyspark.sql import functions as F
 
 from parcela.functions.text import ratio, rooms, weighted
 
-YES, NO = ("evet", "var", "yes", "true", "1"), ("hayir", "hayır", "yok", "no", "false", "0")
+# Words of assent and denial, and how good a heating is, in the order in which names are looked for.
+YES, NO = ("var", "evet", "true", "1", "yes", "mevcut", "bulunuyor"), ("yok", "hayir", "false", "0", "no", "degil")
+UNKNOWN = ("", "missing", "nan", "none", "null", "belirtilmemis")
+
+
+def simple(c: Column) -> Column:
+    """Lower case, plain letters, single spaces; null is empty."""
+    return F.coalesce(F.regexp_replace(F.translate(F.lower(F.trim(c.cast("string"))), "ığüşöç", "igusoc"), r"\s+", " "), F.lit(""))
 
 
 def yes_no(c: Column) -> Column:
-    """1 or 0 for words of assent or denial; null for others."""
-    text = F.lower(F.trim(c.cast("string")))
-    return F.when(text.isin(*YES), 1.0).when(text.isin(*NO), 0.0)
+    """1 or 0 for words of assent or denial; null for others. Any car park is one unless it is denied."""
+    text = simple(c)
+    holds = lambda words: text.rlike("|".join(words))
+    return (
+        F.when(text.isin(*UNKNOWN, "-"), F.lit(None).cast("double"))
+        .when(text.rlike("otopark|parking"), F.when(holds(NO), 0.0).otherwise(1.0))
+        .when(text.rlike("^(" + "|".join(YES) + ")"), 1.0).when(text.isin(*NO), 0.0)
+        .when(text.contains("var") & ~text.contains("yok"), 1.0).when(text.rlike("yok|hayir"), 0.0)
+    )
+
+
+def heating_score(c: Column, scores: Mapping[str, float]) -> Column:
+    """The score of a heating by its name, else of the first listed name that it holds; a half where none is known."""
+    text = simple(c)
+    out = F.when(text.isin(*UNKNOWN), 0.5)
+    for name, score in scores.items():
+        out = out.when(text == name, float(score))
+    for name, score in scores.items():
+        out = out.when(text.contains(name), float(score))
+    return out.otherwise(0.5)
 
 
 def age_score(c: Column) -> Column:
-    return F.when(c.isNull(), F.lit(None).cast("double")).when(c <= 1, 1.0).when(c <= 5, 0.9).when(c <= 10, 0.75).when(c <= 20, 0.55).when(c <= 30, 0.35).otherwise(0.2)
+    return F.when(c.isNull(), 0.5).when(c <= 4, 1.0).when(c <= 10, 0.8).when(c <= 20, 0.55).when(c <= 30, 0.3).otherwise(0.1)
 
 
 def floor_score(floor: Column, top: Column) -> Column:
-    """Middle floors best, the ground and the top floor less."""
-    return F.when(floor.isNull(), F.lit(None).cast("double")).when(floor < 0, 0.1).when(floor == 0, 0.35).when(top.isNotNull() & (floor >= top), 0.6).otherwise(0.85)
+    """Middle floors best, the top floor less, the ground least; unknown floors a half."""
+    share = ratio(floor, top)
+    return F.when(floor.isNull(), 0.5).when(floor <= 0, 0.2).when(F.coalesce(floor >= top, F.lit(False)), 0.45).when(F.coalesce(share.between(0.25, 0.8), F.lit(False)), 1.0).otherwise(0.7)
 
 
 def compactness(gross: Column, n_rooms: Column) -> Column:
-    """Square metres a room as a score: 1 at 30, less to both sides."""
+    """Square metres a room as a score; unknown ones a half."""
     each = ratio(gross, n_rooms)
-    return F.exp(-F.abs(each - 30.0) / 30.0)
+    return F.when(each.isNull(), 0.5).when(each < 22, 0.4).when(each <= 35, 1.0).when(each <= 50, 0.8).otherwise(0.55)
+
+
+def total_bucket(score: Column) -> Column:
+    return F.when(score.isNull(), "mid").when(score <= 0.35, "low").when(score <= 0.65, "mid").otherwise("high")
+
+
+def heating_bucket(score: Column) -> Column:
+    return F.when(score.isNull() | (F.abs(score - 0.5) < 1e-9), "unknown").when(score >= 0.85, "premium").when(score >= 0.6, "good").when(score >= 0.4, "mid").otherwise("poor")
+
+
+def age_bucket(age: Column) -> Column:
+    return F.when(age.isNull(), "unknown").when(age <= 4, "new").when(age <= 10, "young").when(age <= 25, "mid").otherwise("old")
+
+
+def family_home(df: DataFrame) -> Column:
+    """Three to five rooms beside the living room, or 120 square metres."""
+    return F.coalesce(F.replace("room_count", F.lit(" "), F.lit("")).isin("3+1", "4+1", "5+1"), F.lit(False)) | (F.coalesce("gross_m2", F.lit(0.0)) >= 120)
+
+
+def precision(c: Column) -> Column:
+    """Names of how exact a place is, in one spelling."""
+    s = F.coalesce(F.lower(F.trim(c.cast("string"))), F.lit(""))
+    return (
+        F.when(s.isin("exact_map", "exact", "map_exact"), "exact_map").when(s.isin("approx_map", "approx", "approximate", "map_approx"), "approx_map")
+        .when(s.isin("district_only", "district", "neighborhood_only"), "district_only").when(s.isin("", "nan", "none", "null", "missing"), "missing").otherwise(s)
+    )
+
+
+def place_quality(exactness: Column, status: Column, known: Column) -> Column:
+    """How far a listing's coordinates can be trusted, 0 to 1."""
+    s = F.coalesce(F.lower(F.trim(status)), F.lit(""))
+    exact = exactness == "exact_map"
+    return F.when(s.isin("listing_removed", "removed") & known, 0.8).when(exact & s.isin("ok", "success", "done", ""), 1.0).when(exact, 0.95).when(exactness == "approx_map", 0.7).when(exactness == "district_only", 0.3).otherwise(0.0)
+
+
+def road_class(highway: Column, ref: Column, name: Column) -> Column:
+    """Motorways and trunk roads by their tags or by what they are called."""
+    r, n = F.upper(F.coalesce(ref, F.lit(""))), F.upper(F.coalesce(name, F.lit("")))
+    kind = F.coalesce(highway, F.lit(""))
+    return (
+        F.when(kind.isin("motorway", "motorway_link") | n.contains("TEM") | r.rlike("O-?4"), "highway")
+        .when(kind.isin("trunk", "trunk_link", "primary", "primary_link") | r.rlike("D-?100") | n.rlike("E-?5"), "primary")
+        .when(kind.isin("secondary", "secondary_link", "tertiary", "tertiary_link"), "major").otherwise("other")
+    )
 
 
 def attribute_scores(df: DataFrame) -> DataFrame:
@@ -40,8 +109,7 @@ def attribute_scores(df: DataFrame) -> DataFrame:
     out = df.withColumns(parts)
     total = weighted([(F.col("score_age"), 0.35), (F.col("score_floor"), 0.2), (F.col("score_compact"), 0.2), (F.col("score_equipment"), 0.25)])
     out = out.withColumn("score_total", total)
-    t = F.col("score_total")
-    return out.withColumn("score_bucket", F.when(t < 0.35, "low").when(t < 0.55, "mid").when(t < 0.7, "good").otherwise("high"))
+    return out.withColumn("score_bucket", total_bucket(F.col("score_total")))
 
 
 def large_home(df: DataFrame, at: float = 150.0) -> DataFrame:

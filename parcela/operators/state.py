@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,17 @@ def attach(df: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, same, "left").drop(*(f"_k_{k}" for k in keys))
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df, written once to the session's checkpoint folder; only a session on one machine may have none set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parcela-checkpoint-"))
+    return df.checkpoint()
+
+
 def aggregate(df: DataFrame, keys: Sequence[str], **aggregates) -> DataFrame:
     columns = [c.alias(n) for n, c in aggregates.items()]
     return df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)

@@ -12,6 +12,7 @@ from parcela.operators import market as M
 from parcela.operators import models as L
 from parcela.operators import neighbours as N
 from parcela.operators import reports as R
+from parcela.operators import scores as Z
 from parcela.operators.state import aggregate, attach
 from parcela.plans.sql import GROUPED, LISTING, plain
 from parcela.sources import tables as S
@@ -47,7 +48,7 @@ def agg_rent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_rental_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.rent_features(sales(spark, sf_dir), S.listings(spark, sf_dir, "rental"))
+    out = M.rent_features(sales(spark, sf_dir), S.listings(spark, sf_dir, "rental").withColumn("m2_group", X.size_group(F.col("gross_m2"))))
     return rounded(out.select("classified_id", "rent", "rent_level", "rent_count", "rent_confidence", "amortization_years"), 6, "rent", "rent_confidence", "amortization_years")
 
 
@@ -204,9 +205,14 @@ def join_knn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4, "median_5", "median_10", "weighted_mean")
 
 
+def compared(df: DataFrame) -> DataFrame:
+    """What listings are compared by; map clusters are squares of a tenth of a degree."""
+    cluster = F.concat_ws("/", F.floor(F.col("lat") * 10), F.floor(F.col("lon") * 10))
+    return df.select("classified_id", "county", "district", "room_count", "m2_group", "gross_m2", Z.age_bucket(F.col("building_age")).alias("age_group"), F.when(F.col("lat").isNotNull(), cluster).alias("cluster"), F.col("title").alias("site"))
+
+
 def join_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sales(spark, sf_dir).select("classified_id", "county", "district", "room_count", "m2_group", "gross_m2", "building_age", "in_parking", "view_sea")
-    out = N.similar_listings(df, "classified_id", ["county", "district", "room_count", "m2_group"], 3)
+    out = N.similar_listings(compared(sales(spark, sf_dir)), "classified_id", ["county", "district", "room_count", "m2_group"], 3)
     return out.select("classified_id", "neighbour", "rank", F.round("score", 6).alias("score"))
 
 
@@ -244,7 +250,7 @@ def mdl_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_antijoin_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = S.table(spark, sf_dir, "customer").select("c_custkey")
-    done = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = S.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return to_do(wanted, done, ["c_custkey"])
 
 
@@ -277,25 +283,26 @@ def mean_sql(source: str, keys: str, name: str, out: str) -> str:
 
 
 PRED = SALES + mean_sql("s", "county, room_count", "pred", "p")
-METRICS = "1 - sum(pow(unit_price - pred, 2)) / (var_pop(unit_price) * count(*)), 4) AS r2, round(1 - sum(pow(ln(unit_price) - ln(pred), 2)) / (var_pop(ln(unit_price)) * count(*)), 4) AS log_r2, round(avg(abs(pred - unit_price) / unit_price), 4) AS mape, round(median(abs(pred - unit_price) / unit_price), 4) AS median_ape, round(avg(abs(pred - unit_price)), 4) AS mae, round(median(abs(pred - unit_price)), 4) AS median_ae, round(var_pop(pred) / var_pop(unit_price), 4) AS variance_ratio, round(avg(pred - unit_price), 4) AS bias"
+METRICS = "1 - sum(pow(unit_price - pred, 2)) / (var_pop(unit_price) * count(*)), 4) AS r2, round(1 - sum(pow(ln(1 + unit_price) - ln(1 + greatest(pred, 0)), 2)) / (var_pop(ln(1 + unit_price)) * count(*)), 4) AS log_r2, round(avg(abs(pred - unit_price) / unit_price), 4) AS mape, round(median(abs(pred - unit_price) / unit_price), 4) AS median_ape, round(avg(abs(pred - unit_price)), 4) AS mae, round(median(abs(pred - unit_price)), 4) AS median_ae, round(var_pop(pred) / var_pop(unit_price), 4) AS variance_ratio, round(avg(pred - unit_price), 4) AS bias"
 PEOPLE = "c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 10 < 8 THEN 40.55e0 + (c_custkey % 450) / 1000e0 END AS lat, CASE WHEN c_custkey % 10 < 8 THEN 29.40e0 + (c_custkey * 7 % 850) / 1000e0 END AS lon FROM customer)"
 POINTS = "WITH points AS (" + plain(S.POINTS) + "), " + PEOPLE
-#: The nearest are sought among a customer's own and the eight cells around it.
-KNN = "WITH " + PEOPLE + ", n AS (SELECT a.c_custkey, b.c_custkey AS neighbour, b.c_acctbal AS balance, " + haversine_sql("a.lat", "a.lon", "b.lat", "b.lon") + """ AS distance FROM c a JOIN c b ON abs(floor(a.lat / 0.02e0) - floor(b.lat / 0.02e0)) <= 1 AND abs(floor(a.lon / 0.02e0) - floor(b.lon / 0.02e0)) <= 1 AND a.c_custkey <> b.c_custkey),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY distance, neighbour) AS INTEGER) AS rank FROM n)"""
+KNN = "WITH " + PEOPLE + ", n AS (SELECT a.c_custkey, b.c_custkey AS neighbour, b.c_acctbal AS balance, " + haversine_sql("a.lat", "a.lon", "b.lat", "b.lon") + """ AS distance FROM c a JOIN c b ON a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.c_custkey <> b.c_custkey),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY round(distance, 6), neighbour) AS INTEGER) AS rank FROM n)"""
 LEVELS = [(4, "county, district, m2_group, room_count", 8), (3, "county, district, m2_group", 12), (2, "county, district", 12), (1, "county", 20)]
 BASELINE = SALES + ", learn AS (SELECT s.* REPLACE (CAST(v AS INTEGER) AS fold) FROM s, range(5) t(v) WHERE v <> s.fold)" + "".join(
     f", b{c} AS (SELECT fold, {keys}, median(unit_price) m{c}, count(*) n{c} FROM learn GROUP BY ALL HAVING count(*) >= {least})" for c, keys, least in LEVELS
 ) + ", b0 AS (SELECT fold, median(unit_price) m0, count(*) n0 FROM learn GROUP BY ALL) SELECT classified_id, fold, round(greatest(1, coalesce(m4, m3, m2, m1, m0)) + 1e-9, 5) AS baseline, CASE WHEN m4 IS NOT NULL THEN 4 WHEN m3 IS NOT NULL THEN 3 WHEN m2 IS NOT NULL THEN 2 WHEN m1 IS NOT NULL THEN 1 ELSE 0 END AS baseline_level, coalesce(n4, n3, n2, n1, n0) AS baseline_count FROM s" + "".join(
     f" LEFT JOIN b{c} USING (fold, {keys})" for c, keys, _ in LEVELS
 ) + " LEFT JOIN b0 USING (fold)"
+COMPARED = """, sc AS (SELECT *, CASE WHEN building_age <= 4 THEN 'new' WHEN building_age <= 10 THEN 'young' WHEN building_age <= 25 THEN 'mid' ELSE 'old' END AS ag, CASE WHEN lat IS NOT NULL THEN floor(lat * 10) || '/' || floor(lon * 10) END AS cl FROM s)"""
+SIMILARITY = "0.25e0 * exp(-abs(a.gross_m2 - b.gross_m2) / 40e0) + 0.2e0 * 1e0 + 0.15e0 * CASE WHEN a.ag = b.ag THEN 1e0 ELSE 0.5e0 END + 0.15e0 * 1e0 + 0.1e0 * CASE WHEN coalesce(a.cl = b.cl, false) THEN 1e0 ELSE 0e0 END + 0.1e0 * CASE WHEN a.title = b.title THEN 1e0 ELSE 0.5e0 END + 0.05e0 * CASE WHEN (a.gross_m2 >= 150) = (b.gross_m2 >= 150) THEN 1e0 ELSE 0.3e0 END"
 CAP = "exp(ln(pred) + greatest(-0.1e0, least(0.1e0, ({x}) - ln(pred))))"
 
 ORACLE_SQL = {
     "agg_rent_stats": LISTING + """ SELECT county, district, round(median(monthly_rent) + 1e-9, 5) AS rent_median, round(avg(monthly_rent) + 1e-9, 5) AS rent_mean, count(monthly_rent) AS rent_count, round(CASE WHEN count(*) < 2 THEN 0 ELSE quantile_cont(monthly_rent, 0.75) - quantile_cont(monthly_rent, 0.25) END + 1e-9, 5) AS rent_iqr,
 round(CASE WHEN count(*) < 2 THEN 0 ELSE stddev_samp(monthly_rent) / avg(monthly_rent) END + 1e-9, 5) AS rent_cv FROM listing WHERE purpose = 'rental' GROUP BY ALL""",
-    "join_rental_fallback": LISTING + """, r AS (SELECT *, monthly_rent / gross_m2 x FROM listing WHERE purpose = 'rental'), a AS (SELECT county, district, room_count, median(x) ma, count(*) na FROM r GROUP BY ALL), b AS (SELECT county, district, median(x) mb, count(*) nb FROM r GROUP BY ALL), c AS (SELECT county, median(x) mc, count(*) nc FROM r GROUP BY ALL), d AS (SELECT median(x) md, count(*) nd FROM r),
-j AS (SELECT l.*, CASE WHEN na >= 3 THEN ma WHEN nb >= 3 THEN mb WHEN nc >= 3 THEN mc ELSE md END rent, CASE WHEN na >= 3 THEN 'room' WHEN nb >= 3 THEN 'district' WHEN nc >= 3 THEN 'county' ELSE 'all' END rent_level, CASE WHEN na >= 3 THEN na WHEN nb >= 3 THEN nb WHEN nc >= 3 THEN nc ELSE nd END rent_count FROM listing l LEFT JOIN a USING (county, district, room_count) LEFT JOIN b USING (county, district) LEFT JOIN c USING (county), d WHERE purpose = 'sale')
+    "join_rental_fallback": GROUPED + """, r AS (SELECT *, monthly_rent / gross_m2 x FROM grouped WHERE purpose = 'rental'), a AS (SELECT county, district, room_count, median(x) ma, count(*) na FROM r GROUP BY ALL), e AS (SELECT county, district, m2_group, median(x) me, count(*) ne FROM r GROUP BY ALL), b AS (SELECT county, district, median(x) mb, count(*) nb FROM r GROUP BY ALL), c AS (SELECT county, median(x) mc, count(*) nc FROM r GROUP BY ALL), d AS (SELECT median(x) md FROM r),
+j AS (SELECT l.*, coalesce(ma, me, mb, mc, md) rent, CASE WHEN na > 0 THEN 'district_room' WHEN ne > 0 THEN 'district_m2_group' WHEN nb > 0 THEN 'district' WHEN nc > 0 THEN 'county' ELSE 'global' END rent_level, greatest(coalesce(na, 0), coalesce(ne, 0), coalesce(nb, 0), coalesce(nc, 0)) rent_count FROM grouped l LEFT JOIN a USING (county, district, room_count) LEFT JOIN e USING (county, district, m2_group) LEFT JOIN b USING (county, district) LEFT JOIN c USING (county), d WHERE purpose = 'sale')
 SELECT classified_id, round(rent, 6) AS rent, rent_level, rent_count, round(least(rent_count, 30) / 30, 6) AS rent_confidence, round(price / (12 * rent * gross_m2), 6) AS amortization_years FROM j""",
     "join_trend_fallback": LISTING + ", trend AS (" + plain(S.TREND) + """), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY county, district ORDER BY property_date DESC) k FROM trend WHERE NOT projection_like) WHERE k = 1), w AS (SELECT county, median(unit_price_for_sale) cs, median(unit_price_for_rent) cr FROM t GROUP BY ALL)
 SELECT classified_id, round(coalesce(unit_price_for_sale, cs) + 1e-9, 4) AS trend_sale, round(coalesce(unit_price_for_rent, cr) + 1e-9, 4) AS trend_rent, CASE WHEN unit_price_for_sale IS NOT NULL THEN 'district' WHEN cs IS NOT NULL THEN 'county' ELSE 'none' END AS trend_source FROM listing l LEFT JOIN t USING (county, district) LEFT JOIN w USING (county) WHERE purpose = 'sale'""",
@@ -340,14 +347,14 @@ r AS (SELECT 'purpose' AS "column", CASE WHEN a = 0 THEN 'all_null' WHEN da = 1
     "join_radius_count": POINTS + ", d AS (SELECT c_custkey, category, " + haversine_sql("c.lat", "c.lon", "q.lat", "q.lon") + " m FROM c, points q WHERE c.lat IS NOT NULL) SELECT c_custkey, category, count(*) AS n, round(min(m), 4) AS nearest FROM d WHERE m <= 5000 GROUP BY ALL",
     "join_knn_geo": KNN + " SELECT c_custkey, neighbour, round(distance, 4) AS distance, rank, round(balance, 4) AS balance FROM k WHERE rank <= 5",
     "join_knn_stats": KNN + " SELECT c_custkey, count(*) AS n, round(median(balance) FILTER (WHERE rank <= 5), 4) AS median_5, round(median(balance), 4) AS median_10, round(sum(exp(-distance / 1000e0) * balance) / sum(exp(-distance / 1000e0)), 4) AS weighted_mean FROM k WHERE rank <= 10 GROUP BY ALL",
-    "join_similarity_topk": SALES + """, j AS (SELECT a.classified_id, b.classified_id AS neighbour, round(0.35e0 * exp(-abs(a.gross_m2 - b.gross_m2) / 30e0) + 0.25e0 * 1e0 + 0.2e0 * exp(-abs(a.building_age - b.building_age) / 8e0) + 0.1e0 * CASE WHEN a.in_parking = b.in_parking THEN 1e0 ELSE 0e0 END + 0.1e0 * CASE WHEN a.view_sea = b.view_sea THEN 1e0 ELSE 0e0 END, 9) AS score
-FROM s a JOIN s b USING (county, district, room_count, m2_group) WHERE a.classified_id <> b.classified_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY classified_id ORDER BY score DESC, neighbour) AS INTEGER) AS rank FROM j) SELECT classified_id, neighbour, rank, round(score, 6) AS score FROM r WHERE rank <= 3""",
+    "join_similarity_topk": SALES + COMPARED + ", j AS (SELECT a.classified_id, b.classified_id AS neighbour, round(" + SIMILARITY + """, 9) AS score
+FROM sc a JOIN sc b USING (county, district, room_count, m2_group) WHERE a.classified_id <> b.classified_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY classified_id ORDER BY score DESC, neighbour) AS INTEGER) AS rank FROM j) SELECT classified_id, neighbour, rank, round(score, 6) AS score FROM r WHERE rank <= 3""",
     "ens_blend_grid": PRED + mean_sql("p", "m2_group", "pred_size", "q") + ", g AS (SELECT w.w, unit_price y, (1 - w.w) * pred + w.w * pred_size x FROM q, (VALUES (0.1e0), (0.25e0), (0.5e0), (0.75e0), (1e0)) w(w)) SELECT w AS weight, round(avg(abs(x - y) / y), 6) AS mape, round(avg(abs(x - y)), 6) AS mae FROM g GROUP BY ALL",
     "ens_group_residual": PRED + ", f AS (SELECT m2_group, fold, sum(ln(unit_price / pred)) s, count(*) n FROM p GROUP BY ALL), t AS (SELECT m2_group, sum(s) ts, sum(n) tn FROM f GROUP BY ALL) SELECT classified_id, round(pred * exp((ts - s) / (tn - n + 80)), 5) AS corrected FROM p JOIN f USING (m2_group, fold) JOIN t USING (m2_group)",
     "cal_linear_log": PRED + ", r AS (SELECT v AS fold, regr_slope(ln(unit_price), ln(pred)) b, regr_intercept(ln(unit_price), ln(pred)) a FROM p, range(5) t(v) WHERE v <> fold GROUP BY v) SELECT classified_id, round(" + CAP.format(x="a + b * ln(pred)") + ", 4) AS calibrated FROM p JOIN r USING (fold)",
     "cal_bin": PRED + """, l AS (SELECT p.* REPLACE (CAST(v AS INTEGER) AS fold) FROM p, range(5) t(v) WHERE v <> p.fold), e AS (SELECT fold, quantile_cont(ln(pred), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) e FROM l GROUP BY ALL),
-b AS (SELECT fold, len(list_filter(e, lambda x: ln(pred) > x)) bin, median(ln(unit_price / pred)) shift FROM l JOIN e USING (fold) GROUP BY ALL HAVING count(*) >= 30), q AS (SELECT p.*, len(list_filter(e, lambda x: ln(pred) > x)) bin FROM p JOIN e USING (fold))
-SELECT classified_id, round(""" + CAP.format(x="ln(pred) + 0.5e0 * coalesce(shift, 0)") + ", 4) AS calibrated FROM q LEFT JOIN b USING (fold, bin)",
-    "set_antijoin_todo": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+b AS (SELECT fold, len(list_filter(e, lambda x: ln(pred) > x)) bin, greatest(-0.1e0, least(0.1e0, 0.5e0 * (median(ln(unit_price)) - median(ln(pred))))) shift FROM l JOIN e USING (fold) GROUP BY ALL HAVING count(*) >= 30), q AS (SELECT p.*, len(list_filter(e, lambda x: ln(pred) > x)) bin FROM p JOIN e USING (fold))
+SELECT classified_id, round(""" + CAP.format(x="ln(pred) + coalesce(shift, 0)") + ", 4) AS calibrated FROM q LEFT JOIN b USING (fold, bin)",
+    "set_antijoin_todo": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "set_upsert": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) k FROM events) WHERE k = 1",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcela.functions import text as X
 from parcela.operators import clean as C
-from parcela.operators.state import attach
+from parcela.operators.state import aggregate, attach
 from parcela.plans.sql import GROUPED, LISTING, plain
 from parcela.sources import tables as S
 
@@ -47,10 +47,17 @@ def flt_staged_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("reason").agg(F.count("*").alias("n"), F.round(F.avg("unit_price"), 4).alias("mean_unit_price"))
 
 
+def scored(df: DataFrame, rentals: DataFrame) -> DataFrame:
+    """Sales with anomaly scores: the district's median as baseline, its rents for the years of return, the flags as details."""
+    keys = ["county", "district"]
+    base = aggregate(df, keys, base=F.median("unit_price"), base_n=F.count("*"))
+    rents = aggregate(rentals, keys, rent_m2=F.median(X.ratio(F.col("monthly_rent"), F.col("gross_m2"))))
+    details = F.col("near_market") + F.col("in_parking") + F.col("view_sea")
+    return C.anomaly_scores(attach(attach(df, base, keys), rents, keys).withColumn("details", details), "base", "base_n", "rent_m2", "details")
+
+
 def dq_anomaly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = S.listings(spark, sf_dir, "sale")
-    base = df.groupBy("county").agg(F.median("unit_price").alias("base"))
-    out = C.anomaly_scores(attach(df, base, ["county"]), "base")
+    out = scored(sized(spark, sf_dir), S.listings(spark, sf_dir, "rental"))
     return out.select("classified_id", "anomaly_score", "anomaly_reasons", "anomaly_level")
 
 
@@ -145,6 +152,19 @@ QUERIES = {f.__name__: f for f in (
 
 SIZE = "CASE WHEN {c} IS NULL THEN NULL WHEN {c} <= 75 THEN '<=75' WHEN {c} <= 100 THEN '76-100' WHEN {c} <= 125 THEN '101-125' WHEN {c} <= 150 THEN '126-150' WHEN {c} <= 200 THEN '151-200' ELSE '200+' END"
 
+RULES = [
+    ("baseline_ratio_very_low", "r < 0.6", 18), ("baseline_ratio_low", "r >= 0.6 AND r < 0.72", 8), ("baseline_ratio_high", "r > 1.55 AND r <= 1.9", 8), ("baseline_ratio_very_high", "r > 1.9", 18), ("net_gross_too_low", "net_m2 / gross_m2 < 0.5", 12),
+    ("net_gross_too_high", "net_m2 / gross_m2 > 1.03", 18), ("price_unit_mismatch", "abs(price / gross_m2 - unit_price) / unit_price > 0.03", 25), ("large_room_tiny_m2", "room >= 4 AND gross_m2 < 95", 12), ("small_room_huge_m2", "room <= 1 AND gross_m2 > 135", 10),
+    ("very_large_property", "gross_m2 > 230", 7), ("very_small_property", "gross_m2 < 45", 7), ("floor_above_total", "total_floors > 0 AND floor_num > total_floors", 20), ("total_floors_extreme", "total_floors > 45", 8), ("building_age_extreme", "building_age > 80", 8),
+    ("low_baseline_support", "base_n < 5", 8), ("amortization_too_low", "unit_price / rent_m2 / 12 < 8", 10), ("amortization_too_high", "unit_price / rent_m2 / 12 > 45", 10), ("low_detail", "near_market + in_parking + view_sea <= 3", 5), ("group_mad_extreme", "abs(z) > 3.5", 15),
+]
+ANOMALY = GROUPED + """, base AS (SELECT county, district, median(unit_price) base, count(*) base_n FROM grouped WHERE purpose = 'sale' GROUP BY ALL), rent AS (SELECT county, district, median(monthly_rent / gross_m2) rent_m2 FROM grouped WHERE purpose = 'rental' GROUP BY ALL),
+s AS (SELECT l.*, base, base_n, rent_m2, unit_price / base r, CAST(regexp_extract(room_count, '([0-9]+)', 1) AS DOUBLE) room FROM grouped l JOIN base USING (county, district) LEFT JOIN rent USING (county, district) WHERE purpose = 'sale'),
+m AS (SELECT county, room_count, m2_group, median(ln(r)) m, count(*) n FROM s GROUP BY ALL), d AS (SELECT s.*, m, n, abs(ln(r) - m) d FROM s JOIN m USING (county, room_count, m2_group)), k AS (SELECT county, room_count, m2_group, median(d) mad FROM d GROUP BY ALL),
+z AS (SELECT d.*, CASE WHEN n >= 12 AND mad > 1e-9 THEN 0.6745 * (ln(r) - m) / mad END z FROM d JOIN k USING (county, room_count, m2_group)),
+f AS (SELECT *, concat_ws('|', """ + ", ".join(f"CASE WHEN {c} THEN 'anom_{n}' END" for n, c, _ in RULES) + ") AS anomaly_reasons, least(100e0, " + " + ".join(f"CASE WHEN {c} THEN {w}e0 ELSE 0e0 END" for _, c, w in RULES) + """) AS anomaly_score FROM z),
+g AS (SELECT *, CASE WHEN anomaly_score <= 9.9 THEN 'normal' WHEN anomaly_score <= 24.9 THEN 'review' WHEN anomaly_score <= 44.9 THEN 'high_risk' ELSE 'exclude_candidate' END AS anomaly_level FROM f)"""
+
 ORACLE_SQL = {
     "flt_group_iqr": GROUPED + """, b AS (SELECT county, room_count, m2_group, quantile_cont(unit_price, 0.25) q1, quantile_cont(unit_price, 0.75) q3, count(unit_price) n FROM grouped WHERE purpose = 'sale' GROUP BY ALL),
 f AS (SELECT g.*, coalesce(b.n >= 18 AND q3 > q1 AND (unit_price < q1 - 2.75 * (q3 - q1) OR unit_price > q3 + 2.75 * (q3 - q1)), false) AS group_outlier FROM grouped g JOIN b USING (county, room_count, m2_group) WHERE purpose = 'sale'),
@@ -170,13 +190,7 @@ t AS (SELECT s.*, CASE WHEN r0 = '' AND n >= 8 AND q3 > q1 AND (unit_price < q1
 b AS (SELECT county, quantile_cont(unit_price, 0.25) q1, quantile_cont(unit_price, 0.75) q3, count(*) n FROM t WHERE r1 = '' GROUP BY ALL),
 u AS (SELECT t.*, CASE WHEN r1 = '' AND n >= 20 AND q3 > q1 AND (unit_price < q1 - 1.25 * (q3 - q1) OR unit_price > q3 + 1.25 * (q3 - q1)) THEN 'county_iqr' ELSE r1 END AS reason FROM t LEFT JOIN b USING (county))
 SELECT reason, count(*) AS n, round(avg(unit_price), 4) AS mean_unit_price FROM u GROUP BY ALL""",
-    "dq_anomaly_score": LISTING + """, base AS (SELECT county, median(unit_price) base FROM listing WHERE purpose = 'sale' GROUP BY ALL), s AS (SELECT l.*, base, unit_price / base r, CAST(regexp_extract(room_count, '([0-9]+)', 1) AS DOUBLE) room FROM listing l JOIN base USING (county) WHERE purpose = 'sale'),
-m AS (SELECT county, room_count, median(ln(unit_price)) m, count(*) n FROM s GROUP BY ALL), d AS (SELECT s.*, m, n, abs(ln(unit_price) - m) d FROM s JOIN m USING (county, room_count)), k AS (SELECT county, room_count, median(d) mad FROM d GROUP BY ALL),
-z AS (SELECT d.*, CASE WHEN n >= 12 AND mad > 1e-9 THEN 0.6745 * (ln(unit_price) - m) / mad END z FROM d JOIN k USING (county, room_count)),
-f AS (SELECT classified_id, [CASE WHEN r < 0.6 THEN 'below_baseline' END, CASE WHEN r > 1.6 THEN 'above_baseline' END, CASE WHEN net_m2 > gross_m2 THEN 'net_over_gross' END, CASE WHEN net_m2 / gross_m2 < 0.75 THEN 'net_share_low' END,
-CASE WHEN gross_m2 < 22 * room THEN 'small_for_rooms' END, CASE WHEN floor_num > total_floors THEN 'floor_over_top' END, CASE WHEN building_age >= 40 THEN 'old' END, CASE WHEN abs(z) > 3.5 THEN 'far_from_group' END] x FROM z),
-g AS (SELECT classified_id, array_to_string(list_filter(x, lambda v: v IS NOT NULL), '|') AS anomaly_reasons, least(100e0, list_sum(list_transform(list_zip(x, [25e0, 25e0, 15e0, 8e0, 12e0, 10e0, 5e0, 20e0]), lambda p: CASE WHEN p[1] IS NULL THEN 0e0 ELSE p[2] END))) AS anomaly_score FROM f)
-SELECT classified_id, anomaly_score, anomaly_reasons, CASE WHEN anomaly_score <= 9.9 THEN 'normal' WHEN anomaly_score <= 24.9 THEN 'watch' WHEN anomaly_score <= 44.9 THEN 'high' ELSE 'exclude' END AS anomaly_level FROM g""",
+    "dq_anomaly_score": ANOMALY + " SELECT classified_id, anomaly_score, anomaly_reasons, anomaly_level FROM g",
     "dq_suspicious_long": LISTING + """ SELECT classified_id, purpose, county, reason FROM (SELECT classified_id, purpose, county, unnest([CASE WHEN floor_num > total_floors THEN 'floor_over_top' END, CASE WHEN net_m2 > 0.9e0 * gross_m2 THEN 'net_over_gross' END,
 CASE WHEN lat IS NULL THEN 'no_coordinates' END, CASE WHEN unit_price < 200 THEN 'cheap' END]) AS reason FROM listing) WHERE reason IS NOT NULL""",
     "dq_duplicates": LISTING + """ SELECT county, district, room_count, gross_m2, building_age, count(*) AS n, array_to_string(list_sort(list(classified_id))[1:3], ',') AS examples FROM listing GROUP BY ALL HAVING count(*) > 1""",

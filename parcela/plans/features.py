@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcela.functions import text as X
-from parcela.operators import clean as C
 from parcela.operators import layers as Y
 from parcela.operators import models as L
 from parcela.operators import neighbours as N
@@ -15,7 +14,8 @@ from parcela.operators import reports as R
 from parcela.operators import scores as Z
 from parcela.operators.encoders import mean_encoding
 from parcela.operators.state import aggregate, attach
-from parcela.plans.analytics import CAP, FOLDS, PRED, SALES, customers, nudged, predicted, rounded, sales
+from parcela.plans.analytics import CAP, COMPARED, FOLDS, PRED, SALES, SIMILARITY, compared, customers, mean_sql, nudged, predicted, rounded, sales
+from parcela.plans.cleaning import ANOMALY, scored
 from parcela.plans.sql import GROUPED, LISTING
 from parcela.sources import tables as S
 from parcela.sources.sinks import samples
@@ -49,7 +49,7 @@ def enc_scope_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enc_comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = sales(spark, sf_dir)
-    near = N.similar_listings(df.select("classified_id", "county", "district", "room_count", "m2_group", "gross_m2", "building_age", "in_parking", "view_sea"), "classified_id", ["county", "district", "room_count", "m2_group"], 3)
+    near = N.similar_listings(compared(df), "classified_id", ["county", "district", "room_count", "m2_group"], 3)
     out = Y.comparable_features(df, near, "classified_id", "unit_price", ["county"])
     return nudged(out.select("classified_id", "comp_value", "comp_mean", "comp_count", "comp_missing", "comp_confidence"), 5, "comp_value", "comp_mean", "comp_confidence")
 
@@ -69,12 +69,10 @@ def agg_focus_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg_anomaly_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors with and without listings of high anomaly scores."""
-    df = predicted(spark, sf_dir)
-    base = aggregate(df, ["county"], base=F.median("unit_price"))
-    scored = C.anomaly_scores(attach(df, base, ["county"]), "base")
+    listed = scored(predicted(spark, sf_dir), S.listings(spark, sf_dir, "rental"))
     s = F.col("anomaly_score")
     slices = F.array_compact(F.array(F.lit("all"), F.when(s < 25, F.lit("below_25")), F.when(s < 45, F.lit("below_45")), F.when(s >= 25, F.lit("from_25")), F.when(s >= 45, F.lit("from_45"))))
-    out = R.metrics(scored.withColumn("slice", F.explode(slices)), "unit_price", "pred", ["slice"], 5)
+    out = R.metrics(listed.withColumn("slice", F.explode(slices)), "unit_price", "pred", ["slice"], 5)
     return rounded(out.select("slice", "rows", "mape", "mae"), 4, "mape", "mae")
 
 
@@ -136,13 +134,15 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ROOMS = "CAST(regexp_extract(room_count, '([0-9]+)', 1) AS DOUBLE)"
-SIMILAR = """, j AS (SELECT a.classified_id, b.classified_id AS neighbour, b.unit_price v, round(0.35e0 * exp(-abs(a.gross_m2 - b.gross_m2) / 30e0) + 0.25e0 * 1e0 + 0.2e0 * exp(-abs(a.building_age - b.building_age) / 8e0) + 0.1e0 * CASE WHEN a.in_parking = b.in_parking THEN 1e0 ELSE 0e0 END + 0.1e0 * CASE WHEN a.view_sea = b.view_sea THEN 1e0 ELSE 0e0 END, 9) AS score
-FROM s a JOIN s b USING (county, district, room_count, m2_group) WHERE a.classified_id <> b.classified_id), k AS (SELECT *, row_number() OVER (PARTITION BY classified_id ORDER BY score DESC, neighbour) AS rank FROM j)"""
-GRID = "[" + ", ".join(str(i / 20) for i in range(21)) + "]"
+SIMILAR = COMPARED + ", j AS (SELECT a.classified_id, b.classified_id AS neighbour, b.unit_price v, round(" + SIMILARITY + """, 9) AS score
+FROM sc a JOIN sc b USING (county, district, room_count, m2_group) WHERE a.classified_id <> b.classified_id), k AS (SELECT *, row_number() OVER (PARTITION BY classified_id ORDER BY score DESC, neighbour) AS rank FROM j)"""
+GRID = "[" + ", ".join(repr(0.05 + 0.9 * i / 19) for i in range(20)) + "]"
 
 ORACLE_SQL = {
-    "enc_attribute_scores": SALES + ", a AS (SELECT classified_id, CASE WHEN building_age <= 1 THEN 1e0 WHEN building_age <= 5 THEN 0.9e0 WHEN building_age <= 10 THEN 0.75e0 WHEN building_age <= 20 THEN 0.55e0 WHEN building_age <= 30 THEN 0.35e0 ELSE 0.2e0 END AS score_age, CASE WHEN floor_num < 0 THEN 0.1e0 WHEN floor_num = 0 THEN 0.35e0 WHEN floor_num >= total_floors THEN 0.6e0 ELSE 0.85e0 END AS score_floor, exp(-abs(gross_m2 / (" + ROOMS + """ + 1) - 30) / 30) AS c, (in_parking + near_market + view_sea) / 3e0 AS e FROM s), t AS (SELECT *, greatest(0, least(1, score_age * 0.35e0 + score_floor * 0.2e0 + c * 0.2e0 + e * 0.25e0)) t FROM a)
-SELECT classified_id, score_age, score_floor, round(c, 6) AS score_compact, round(e, 6) AS score_equipment, round(t, 6) AS score_total, CASE WHEN t < 0.35 THEN 'low' WHEN t < 0.55 THEN 'mid' WHEN t < 0.7 THEN 'good' ELSE 'high' END AS score_bucket FROM t""",
+    "agg_anomaly_slices": ANOMALY + ", t AS (SELECT *, CAST(classified_id % 5 AS INTEGER) AS fold FROM g)" + mean_sql("t", "county, room_count", "pred", "p") + """, u AS (SELECT unnest(list_filter(['all', CASE WHEN anomaly_score < 25 THEN 'below_25' END, CASE WHEN anomaly_score < 45 THEN 'below_45' END, CASE WHEN anomaly_score >= 25 THEN 'from_25' END, CASE WHEN anomaly_score >= 45 THEN 'from_45' END], lambda x: x IS NOT NULL)) AS slice, unit_price, pred FROM p)
+SELECT slice, count(*) AS rows, round(avg(abs(pred - unit_price) / unit_price), 4) AS mape, round(avg(abs(pred - unit_price)), 4) AS mae FROM u GROUP BY ALL HAVING count(*) >= 5""",
+    "enc_attribute_scores": SALES + ", a AS (SELECT classified_id, CASE WHEN building_age <= 4 THEN 1e0 WHEN building_age <= 10 THEN 0.8e0 WHEN building_age <= 20 THEN 0.55e0 WHEN building_age <= 30 THEN 0.3e0 ELSE 0.1e0 END AS score_age, CASE WHEN floor_num <= 0 THEN 0.2e0 WHEN floor_num >= total_floors THEN 0.45e0 WHEN floor_num / total_floors BETWEEN 0.25e0 AND 0.8e0 THEN 1e0 ELSE 0.7e0 END AS score_floor, CASE WHEN gross_m2 / (" + ROOMS + " + 1) < 22 THEN 0.4e0 WHEN gross_m2 / (" + ROOMS + " + 1) <= 35 THEN 1e0 WHEN gross_m2 / (" + ROOMS + """ + 1) <= 50 THEN 0.8e0 ELSE 0.55e0 END AS c, (in_parking + near_market + view_sea) / 3e0 AS e FROM s), t AS (SELECT *, greatest(0, least(1, score_age * 0.35e0 + score_floor * 0.2e0 + c * 0.2e0 + e * 0.25e0)) t FROM a)
+SELECT classified_id, score_age, score_floor, round(c, 6) AS score_compact, round(e, 6) AS score_equipment, round(t, 6) AS score_total, CASE WHEN t <= 0.35 THEN 'low' WHEN t <= 0.65 THEN 'mid' ELSE 'high' END AS score_bucket FROM t""",
     "enc_large_home": SALES + ", a AS (SELECT *, " + ROOMS + " room FROM s), b AS (SELECT *, CAST(gross_m2 >= 150 OR room >= 5 AS INTEGER) is_large FROM a) SELECT classified_id, is_large, greatest(0e0, gross_m2 - 150) AS m2_over, round(ln(gross_m2), 6) AS log_m2, round(100 * room / gross_m2, 6) AS room_density, is_large * CAST(building_age <= 5 AS INTEGER) AS large_new, is_large * view_sea AS large_view FROM b",
     "enc_premium_signals": LISTING + """, a AS (SELECT least(10e0, 2e0 * CAST(regexp_matches(lower(concat_ws(' ', title, kind)), 'steel|brass') AS INTEGER) + 3e0 * CAST(regexp_matches(lower(concat_ws(' ', title, kind)), 'polished|burnished') AS INTEGER) + 1.5e0 * CAST(regexp_matches(lower(concat_ws(' ', title, kind)), 'large') AS INTEGER) + CASE WHEN title LIKE 'spring%' THEN 3e0 ELSE 0e0 END) AS premium_score FROM listing)
 SELECT CASE WHEN premium_score >= 7 THEN 'premium' WHEN premium_score >= 4 THEN 'upper' WHEN premium_score >= 2 THEN 'mid' ELSE 'standard' END AS premium_level, premium_score, count(*) AS n FROM a GROUP BY ALL""",
@@ -157,6 +157,6 @@ SELECT county, feature, CAST(sum(k) AS BIGINT) AS n, CAST(sum(h) AS BIGINT) AS n
     "topk_samples": LISTING + " SELECT * FROM (SELECT classified_id, 'high' AS \"end\", county FROM listing ORDER BY unit_price DESC, classified_id LIMIT 25) UNION ALL SELECT * FROM (SELECT classified_id, 'low' AS \"end\", county FROM listing ORDER BY unit_price, classified_id LIMIT 25)",
     "src_poi_categories": "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'education' WHEN 1 THEN 'health' WHEN 2 THEN 'daily' WHEN 3 THEN 'transport' ELSE 'other' END AS category, count(*) AS n FROM supplier GROUP BY ALL",
     "src_line_samples": "WITH r AS (SELECT vec_id, embedding e, unnest(range(len(embedding))) i FROM embeddings) SELECT vec_id, CAST(i AS INTEGER) AS vertex_i, round(CAST(e[i + 1] AS DOUBLE), 6) AS vertex FROM r WHERE i % greatest(1, len(e) // 10) = 0 OR i = len(e) - 1",
-    "cal_quantile_map": PRED + f""", l AS (SELECT p.* REPLACE (CAST(v AS INTEGER) AS fold) FROM p, range(5) t(v) WHERE v <> p.fold), q AS (SELECT fold, quantile_cont(ln(pred), {GRID}) x, quantile_cont(ln(unit_price), {GRID}) y FROM l GROUP BY ALL), a AS (SELECT p.*, q.x, q.y, greatest(1, least(20, len(list_filter(q.x, lambda e: e <= ln(pred))))) i FROM p JOIN q USING (fold)),
+    "cal_quantile_map": PRED + f""", l AS (SELECT p.* REPLACE (CAST(v AS INTEGER) AS fold) FROM p, range(5) t(v) WHERE v <> p.fold), q AS (SELECT fold, quantile_cont(ln(pred), {GRID}) x, quantile_cont(ln(unit_price), {GRID}) y FROM l GROUP BY ALL), a AS (SELECT p.*, q.x, q.y, greatest(1, least(19, len(list_filter(q.x, lambda e: e <= ln(pred))))) i FROM p JOIN q USING (fold)),
 b AS (SELECT *, greatest(0, least(1, coalesce((ln(pred) - x[i]) / nullif(x[i + 1] - x[i], 0), 0))) g FROM a) SELECT classified_id, round(""" + CAP.format(x="ln(pred) + 0.5e0 * (y[i] + g * (y[i + 1] - y[i]) - ln(pred))") + ", 4) AS calibrated FROM b",
 }
