@@ -108,6 +108,7 @@ def anomaly_rules(baseline: str, count: str | None = None, rent: str | None = No
     rules = {
         "anom_baseline_ratio_very_low": (share < 0.6, 18.0), "anom_baseline_ratio_low": ((share >= 0.6) & (share < 0.72), 8.0),
         "anom_baseline_ratio_high": ((share > 1.55) & (share <= 1.9), 8.0), "anom_baseline_ratio_very_high": (share > 1.9, 18.0),
+        **({"anom_low_baseline_support": (F.col(count) < 5, 8.0)} if count else {}),
         "anom_net_gross_too_low": (ratio(net, gross) < 0.5, 12.0), "anom_net_gross_too_high": (ratio(net, gross) > 1.03, 18.0),
         "anom_price_unit_mismatch": (ratio(F.abs(ratio(F.col("price"), gross) - price), price) > 0.03, 25.0),
         "anom_large_room_tiny_m2": ((room >= 4) & (gross < 95), 12.0), "anom_small_room_huge_m2": ((room <= 1) & (gross > 135), 10.0),
@@ -115,8 +116,6 @@ def anomaly_rules(baseline: str, count: str | None = None, rent: str | None = No
         "anom_floor_above_total": ((F.col("total_floors") > 0) & (F.col("floor_num") > F.col("total_floors")), 20.0),
         "anom_total_floors_extreme": (F.col("total_floors") > 45, 8.0), "anom_building_age_extreme": (F.col("building_age") > 80, 8.0),
     }
-    if count:
-        rules["anom_low_baseline_support"] = (F.col(count) < 5, 8.0)
     if rent:
         years = ratio(price, F.col(rent)) / 12
         rules |= {"anom_amortization_too_low": (years < 8, 10.0), "anom_amortization_too_high": (years > 45, 10.0)}

@@ -153,10 +153,10 @@ QUERIES = {f.__name__: f for f in (
 SIZE = "CASE WHEN {c} IS NULL THEN NULL WHEN {c} <= 75 THEN '<=75' WHEN {c} <= 100 THEN '76-100' WHEN {c} <= 125 THEN '101-125' WHEN {c} <= 150 THEN '126-150' WHEN {c} <= 200 THEN '151-200' ELSE '200+' END"
 
 RULES = [
-    ("baseline_ratio_very_low", "r < 0.6", 18), ("baseline_ratio_low", "r >= 0.6 AND r < 0.72", 8), ("baseline_ratio_high", "r > 1.55 AND r <= 1.9", 8), ("baseline_ratio_very_high", "r > 1.9", 18), ("net_gross_too_low", "net_m2 / gross_m2 < 0.5", 12),
+    ("baseline_ratio_very_low", "r < 0.6", 18), ("baseline_ratio_low", "r >= 0.6 AND r < 0.72", 8), ("baseline_ratio_high", "r > 1.55 AND r <= 1.9", 8), ("baseline_ratio_very_high", "r > 1.9", 18), ("low_baseline_support", "base_n < 5", 8), ("net_gross_too_low", "net_m2 / gross_m2 < 0.5", 12),
     ("net_gross_too_high", "net_m2 / gross_m2 > 1.03", 18), ("price_unit_mismatch", "abs(price / gross_m2 - unit_price) / unit_price > 0.03", 25), ("large_room_tiny_m2", "room >= 4 AND gross_m2 < 95", 12), ("small_room_huge_m2", "room <= 1 AND gross_m2 > 135", 10),
     ("very_large_property", "gross_m2 > 230", 7), ("very_small_property", "gross_m2 < 45", 7), ("floor_above_total", "total_floors > 0 AND floor_num > total_floors", 20), ("total_floors_extreme", "total_floors > 45", 8), ("building_age_extreme", "building_age > 80", 8),
-    ("low_baseline_support", "base_n < 5", 8), ("amortization_too_low", "unit_price / rent_m2 / 12 < 8", 10), ("amortization_too_high", "unit_price / rent_m2 / 12 > 45", 10), ("low_detail", "near_market + in_parking + view_sea <= 3", 5), ("group_mad_extreme", "abs(z) > 3.5", 15),
+    ("amortization_too_low", "unit_price / rent_m2 / 12 < 8", 10), ("amortization_too_high", "unit_price / rent_m2 / 12 > 45", 10), ("low_detail", "near_market + in_parking + view_sea <= 3", 5), ("group_mad_extreme", "abs(z) > 3.5", 15),
 ]
 ANOMALY = GROUPED + """, base AS (SELECT county, district, median(unit_price) base, count(*) base_n FROM grouped WHERE purpose = 'sale' GROUP BY ALL), rent AS (SELECT county, district, median(monthly_rent / gross_m2) rent_m2 FROM grouped WHERE purpose = 'rental' GROUP BY ALL),
 s AS (SELECT l.*, base, base_n, rent_m2, unit_price / base r, CAST(regexp_extract(room_count, '([0-9]+)', 1) AS DOUBLE) room FROM grouped l JOIN base USING (county, district) LEFT JOIN rent USING (county, district) WHERE purpose = 'sale'),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcela.plans import analytics, cleaning, features
+from parcela.plans import analytics, cleaning, features, inventory
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**cleaning.QUERIES, **analytics.QUERIES, **features.QUERIES}
-ORACLE_SQL: dict[str, str] = {**cleaning.ORACLE_SQL, **analytics.ORACLE_SQL, **features.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**cleaning.QUERIES, **analytics.QUERIES, **features.QUERIES, **inventory.QUERIES}
+ORACLE_SQL: dict[str, str] = {**cleaning.ORACLE_SQL, **analytics.ORACLE_SQL, **features.ORACLE_SQL, **inventory.ORACLE_SQL}

@@ -40,7 +40,7 @@ def test_rooms_floor_and_stem(spark):
     assert one(spark, lambda c: text.rooms(c)[0], "Stüdyo") is None
     assert one(spark, text.floor, "Zemin kat") == 0.0
     assert one(spark, text.floor, "Çatı katı") is None
-    assert one(spark, text.site_stem, "Orka Life II Sitesi 3+1 120m2") == "orka life 2 sitesi"
+    assert one(spark, text.site_stem, "Orka Life II Sitesi 3+1 120m2") == "orka life 2"
     assert one(spark, text.count_values, "A| |B|") == 2
     assert one(spark, text.clean, " None ") is None
 
@@ -158,7 +158,9 @@ def test_geojson_and_keyed_replacement(spark, tmp_path):
 
 def test_scores_of_missing_attributes(spark):
     assert one(spark, scores.yes_no, " Var ") == 1.0 and one(spark, scores.yes_no, "Hayır") == 0.0 and one(spark, scores.yes_no, "belki") is None
-    assert one(spark, scores.age_score, None, "double") is None
+    assert one(spark, scores.age_score, None, "double") == 0.5
+    assert [one(spark, scores.yes_no, x) for x in ("Açık Otopark", "Otopark yok", "var, yeni", "hayır", "-", None)] == [1.0, 0.0, 1.0, 0.0, None, None]
+    assert one(spark, text.site_stem, "Sitesi 3+1") == "missing" and one(spark, text.stem_id, "Orka  Life-2") == "orka_life_2"
     assert one(spark, scores.poi_category, "High_School") == "education"
     df = spark.createDataFrame([(None, 1.0, "x"), (True, 1.0, "x")], "e boolean, v double, c string")
     assert {tuple(r) for r in scores.scope_mask(df, F.col("e"), ["v"], ["c"]).select("v", "c").collect()} == {(0.0, "location_not_used"), (1.0, "x")}
