@@ -44,7 +44,7 @@ WINDOW, LEARNED_WINDOW = 2, 8
 GRAM = 6
 COPIED = 5
 #: Windows of toxic texts are learned from if at most one in so many ordinary windows gains as much.
-RARE = 500
+RARE = 300
 ROUNDS, FOLDS = 3, 3
 GAINS = range(3, 13)
 #: Densities of toxic windows that a text is tried for, as multiples of that of the labelled texts.
