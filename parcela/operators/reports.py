@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcela.functions.text import ratio
-from parcela.operators.state import aggregate, attach
+from parcela.operators.state import aggregate, attach, ranked
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -72,11 +72,9 @@ def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, i
 
 def tail_bias(df: DataFrame, y: str, p: str, by: Sequence[str], id_: str, share: float = 0.1) -> DataFrame:
     """Mean error of each group's highest and lowest tenth by actual value."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    low = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(y).asc(), F.col(id_).asc()))
-    out = df.withColumns({"_k": F.greatest(F.lit(1), F.floor(n * share)), "_low": low, "_n": n})
-    error = F.col(p) - F.col(y)
-    return aggregate(out, by, low_bias=F.avg(F.when(F.col("_low") <= F.col("_k"), error)), high_bias=F.avg(F.when(F.col("_low") > F.col("_n") - F.col("_k"), error)))
+    out = ranked(df.select(*by, y, p, id_), by, [y, id_])
+    k, error = F.greatest(F.lit(1), F.floor(F.col("rank_of") * share)), F.col(p) - F.col(y)
+    return aggregate(out, by, low_bias=F.avg(F.when(F.col("rank") <= k, error)), high_bias=F.avg(F.when(F.col("rank") > F.col("rank_of") - k, error)))
 
 
 def correlations(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:

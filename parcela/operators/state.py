@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,16 @@ def durable(df: DataFrame) -> DataFrame:
 def aggregate(df: DataFrame, keys: Sequence[str], **aggregates) -> DataFrame:
     columns = [c.alias(n) for n, c in aggregates.items()]
     return df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)
+
+
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with `rank` (from 1) within its group by a total order, and the group's `rank_of` rows.
+
+    Rows are dealt to partitions by range of group and order and written once; ranks are taken inside each partition,
+    and the counts of the partitions before are added, so a group that holds most rows is spread over many tasks."""
+    cuts = durable(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    group = Window.partitionBy(*by)
+    sizes = aggregate(cuts, [*by, "_p"], _c=F.count("*"))
+    sizes = sizes.select(*by, "_p", (F.sum("_c").over(group.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(group).alias("rank_of"))
+    own = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))
+    return attach(cuts.withColumn("_r", own), sizes, [*by, "_p"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_r", "_p", "_before")
