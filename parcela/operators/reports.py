@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.functions.text import ratio
-from parcela.operators.state import aggregate, attach, ranked
+from parcela.operators.state import aggregate, attach, durable, ranked, summed_before
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -65,9 +65,8 @@ def decile_bias(df: DataFrame, y: str, p: str, buckets: int = 10) -> DataFrame:
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str, id_: str) -> DataFrame:
     """The first value, by size, at which half of the group's weight is reached. Equal values are added up first."""
     grouped = aggregate(df.where(F.col(weight) > 0), [*by, value], _w=F.sum(weight))
-    over = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = grouped.withColumn("_c", F.sum("_w").over(over)).withColumn("_t", F.sum("_w").over(Window.partitionBy(*by)))
-    return aggregate(out.where(F.col("_c") >= 0.5 * F.col("_t")), by, weighted_median=F.min(value))
+    out = summed_before(grouped, by, [value], F.col("_w"), "_b", "_t")
+    return aggregate(out.where(F.col("_b") + F.col("_w") >= 0.5 * F.col("_t")), by, weighted_median=F.min(value))
 
 
 def tail_bias(df: DataFrame, y: str, p: str, by: Sequence[str], id_: str, share: float = 0.1) -> DataFrame:
@@ -80,11 +79,12 @@ def tail_bias(df: DataFrame, y: str, p: str, by: Sequence[str], id_: str, share:
 def correlations(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     """(column, pearson, spearman) of each column with y; ranks of ties are averaged. Ranks come from counts of distinct values."""
     long = df.select(F.col(y).alias("_y"), *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["_y"], list(columns), "column", "_x").where("_x is not null and _y is not null")
+    long = durable(long)
 
     def ranks(value: str, name: str) -> DataFrame:
         counted = aggregate(long, ["column", value], _n=F.count("*"))
-        before = Window.partitionBy("column").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counted.select("column", value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+        out = summed_before(counted, ["column"], [value], F.col("_n"), "_b", "_t")
+        return out.select("column", value, (F.col("_b") + (F.col("_n") + 1) / 2).alias(name))
 
     both = attach(attach(long, ranks("_x", "_rx"), ["column", "_x"]), ranks("_y", "_ry"), ["column", "_y"])
     return aggregate(both, ["column"], pearson=F.corr("_x", "_y"), spearman=F.corr("_rx", "_ry"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,14 +36,20 @@ def aggregate(df: DataFrame, keys: Sequence[str], **aggregates) -> DataFrame:
     return df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)
 
 
-def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """df with `rank` (from 1) within its group by a total order, and the group's `rank_of` rows.
+def summed_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, before: str, total: str) -> DataFrame:
+    """df with the sum of a value over the rows before within its group by a total order (0 for the first), and the group's sum.
 
-    Rows are dealt to partitions by range of group and order and written once; ranks are taken inside each partition,
-    and the counts of the partitions before are added, so a group that holds most rows is spread over many tasks."""
-    cuts = durable(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    Rows are dealt to partitions by range of group and order and written once; sums are taken inside each partition,
+    and those of the partitions before are added, so a group that holds most rows is spread over many tasks."""
+    cuts = durable(df.withColumn("_v", value).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
     group = Window.partitionBy(*by)
-    sizes = aggregate(cuts, [*by, "_p"], _c=F.count("*"))
-    sizes = sizes.select(*by, "_p", (F.sum("_c").over(group.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(group).alias("rank_of"))
-    own = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))
-    return attach(cuts.withColumn("_r", own), sizes, [*by, "_p"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_r", "_p", "_before")
+    sizes = aggregate(cuts, [*by, "_p"], _c=F.sum("_v"))
+    sizes = sizes.select(*by, "_p", (F.sum("_c").over(group.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(group).alias(total))
+    own = F.sum("_v").over(Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = attach(cuts.withColumn("_r", F.coalesce(own, F.lit(0))), sizes, [*by, "_p"])
+    return out.withColumn(before, F.col("_r") + F.col("_before")).drop("_r", "_p", "_v", "_before")
+
+
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with `rank` (from 1) within its group by a total order, and the group's `rank_of` rows."""
+    return summed_before(df, by, order, F.lit(1), "rank", "rank_of").withColumn("rank", F.col("rank") + 1)
