@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parcela.llm.filter_audit import OP12_SQL, op12_filter_audit
+from parcela.llm.language_id import op13_language_id
 from parcela.llm.licenses import op8_licenses
 from parcela.llm.mixing import op4_mixing
 from parcela.llm.packing import op7_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
     "op12_filter_audit": op12_filter_audit,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op12_filter_audit": OP12_SQL}
