@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcela.llm.collocations import OP11_SQL, op11_collocations
 from parcela.llm.filter_audit import OP12_SQL, op12_filter_audit
 from parcela.llm.language_id import op13_language_id
 from parcela.llm.licenses import op8_licenses
@@ -30,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
     "op13_language_id": op13_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op12_filter_audit": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op11_collocations": OP11_SQL, "op12_filter_audit": OP12_SQL}
