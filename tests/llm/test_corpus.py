@@ -456,10 +456,16 @@ def naive_features(text):
 @given(st.text(alphabet="abé \n\t\u3000", max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_op9_features(text):
-    buckets, word, n = quality_classifier.features(text)
+    """The features' hashes before they are put into buckets, where some meet by chance."""
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(quality_classifier, "bucket", lambda hashes: hashes.view(np.int64))
+        hashes, word, n = quality_classifier.features(text)
+    buckets, same_word, _ = quality_classifier.features(text)
     want, n_words = naive_features(text)
-    assert n == n_words and sorted(word.tolist()) == sorted(i for i, _ in want)
-    assert len(set(buckets.tolist())) == len({g for _, g in want})
+    assert n == n_words and sorted(word.tolist()) == sorted(i for i, _ in want) and word.tolist() == same_word.tolist()
+    assert len(set(hashes.tolist())) == len({g for _, g in want})
+    marks = hashes == quality_classifier.REPEAT
+    assert (buckets[~marks] == quality_classifier.bucket(hashes[~marks].view(np.uint64))).all() and ((buckets >= 0) & (buckets < quality_classifier.BUCKETS)).all()
 
 
 def test_op9_held_out_labels_are_not_read(spark):
