@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,20 +36,66 @@ def aggregate(df: DataFrame, keys: Sequence[str], **aggregates) -> DataFrame:
     return df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)
 
 
-def summed_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, before: str, total: str) -> DataFrame:
-    """df with the sum of a value over the rows before within its group by a total order (0 for the first), and the group's sum.
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """df with, for each named value, `<name>_before`: its sum over the rows before within the group by a total order (0 for the first), and `<name>_total`: the group's sum.
 
     Rows are dealt to partitions by range of group and order and written once; sums are taken inside each partition,
     and those of the partitions before are added, so a group that holds most rows is spread over many tasks."""
-    cuts = durable(df.withColumn("_v", value).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    cuts = durable(df.withColumns({f"_v_{n}": v for n, v in values.items()}).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
     group = Window.partitionBy(*by)
-    sizes = aggregate(cuts, [*by, "_p"], _c=F.sum("_v"))
-    sizes = sizes.select(*by, "_p", (F.sum("_c").over(group.orderBy("_p")) - F.col("_c")).alias("_before"), F.sum("_c").over(group).alias(total))
-    own = F.sum("_v").over(Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = attach(cuts.withColumn("_r", F.coalesce(own, F.lit(0))), sizes, [*by, "_p"])
-    return out.withColumn(before, F.col("_r") + F.col("_before")).drop("_r", "_p", "_v", "_before")
+    sizes = aggregate(cuts, [*by, "_p"], **{f"_c_{n}": F.sum(f"_v_{n}") for n in values})
+    sizes = sizes.select(
+        *by, "_p", *((F.sum(f"_c_{n}").over(group.orderBy("_p")) - F.col(f"_c_{n}")).alias(f"_s_{n}") for n in values), *(F.sum(f"_c_{n}").over(group).alias(f"{n}_total") for n in values)
+    )
+    earlier = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = attach(cuts.withColumns({f"_r_{n}": F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)) for n in values}), sizes, [*by, "_p"])
+    return out.withColumns({f"{n}_before": F.col(f"_r_{n}") + F.col(f"_s_{n}") for n in values}).drop("_p", *(f"_{x}_{n}" for x in "rvs" for n in values))
+
+
+def summed_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, before: str, total: str) -> DataFrame:
+    """df with the sum of a value over the rows before within its group by a total order (0 for the first), and the group's sum."""
+    return running(df, by, order, {"_x": value}).withColumnsRenamed({"_x_before": before, "_x_total": total})
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """df with `rank` (from 1) within its group by a total order, and the group's `rank_of` rows."""
     return summed_before(df, by, order, F.lit(1), "rank", "rank_of").withColumn("rank", F.col("rank") + 1)
+
+
+def picked(counts: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
+    """(by, n, named percentiles) of values that stand `_n` times each, exact, interpolated as usual.
+
+    The two values around a percentile are those whose runs of ranks hold it; a group's values may fill many tasks."""
+    at = running(counts, by, [value], {"n": F.col("_n")})
+    ends = {}
+    for name, p in probabilities.items():
+        place = (F.col("n_total") - 1) * F.lit(p)
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            ends[f"_{name}_{side}"] = F.max(F.when((F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("_n")), F.col(value)))
+        ends[f"_{name}_part"] = F.max(place - F.floor(place))
+    out = aggregate(at, by, n=F.max("n_total"), **ends)
+    return out.select(*by, "n", *((F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")).alias(n) for n in probabilities))
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
+    """(by, n, named percentiles) of the values that are not null: counted by value where they lie, then ranked over range partitions."""
+    counts = aggregate(df.where(F.col(value).isNotNull()), [*by, value], _n=F.count("*"))
+    return picked(counts, by, value, probabilities)
+
+
+def fold_medians(df: DataFrame, by: Sequence[str], value: str, folds: int) -> DataFrame:
+    """(by, fold, median, n) of the values of all other folds, for every group and fold that has any.
+
+    Each distinct value is one row with its number in every fold. A fold's ranks are all ranks less its own, so one
+    ordering serves all folds and no row is copied."""
+    own = {f"f{i}": F.count_if(F.col("fold") == i) for i in range(folds)}
+    counts = aggregate(df.where(F.col(value).isNotNull()), [*by, value], all=F.count("*"), **own)
+    at = running(counts, by, [value], {c: F.col(c) for c in ("all", *own)})
+    each = []
+    for i in range(folds):
+        total, before, here = (F.col(f"all{x}") - F.col(f"f{i}{x}") for x in ("_total", "_before", ""))
+        holds = lambda rank, before=before, here=here: ((before <= rank) & (rank < before + here)).cast("int")
+        weight = holds(F.floor((total - 1) / 2)) + holds(F.ceil((total - 1) / 2))
+        each.append(F.when(weight > 0, F.struct(F.lit(i).alias("fold"), total.alias("n"), (F.col(value) * weight / 2).alias("part"))))
+    rows = at.select(*by, F.explode(F.array_compact(F.array(*each))).alias("x")).select(*by, "x.*")
+    return aggregate(rows, [*by, "fold"], median=F.sum("part"), n=F.max("n"))
