@@ -41,15 +41,15 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Mapp
 
     Rows are dealt to partitions by range of group and order and written once; sums are taken inside each partition,
     and those of the partitions before are added, so a group that holds most rows is spread over many tasks."""
-    cuts = durable(df.withColumns({f"_v_{n}": v for n, v in values.items()}).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    cuts = durable(df.withColumns({f"_v_{n}": v for n, v in values.items()}).repartitionByRange(*by, *order).withColumn("_cut", F.spark_partition_id()))
     group = Window.partitionBy(*by)
-    sizes = aggregate(cuts, [*by, "_p"], **{f"_c_{n}": F.sum(f"_v_{n}") for n in values})
+    sizes = aggregate(cuts, [*by, "_cut"], **{f"_c_{n}": F.sum(f"_v_{n}") for n in values})
     sizes = sizes.select(
-        *by, "_p", *((F.sum(f"_c_{n}").over(group.orderBy("_p")) - F.col(f"_c_{n}")).alias(f"_s_{n}") for n in values), *(F.sum(f"_c_{n}").over(group).alias(f"{n}_total") for n in values)
+        *by, "_cut", *((F.sum(f"_c_{n}").over(group.orderBy("_cut")) - F.col(f"_c_{n}")).alias(f"_s_{n}") for n in values), *(F.sum(f"_c_{n}").over(group).alias(f"{n}_total") for n in values)
     )
-    earlier = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = attach(cuts.withColumns({f"_r_{n}": F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)) for n in values}), sizes, [*by, "_p"])
-    return out.withColumns({f"{n}_before": F.col(f"_r_{n}") + F.col(f"_s_{n}") for n in values}).drop("_p", *(f"_{x}_{n}" for x in "rvs" for n in values))
+    earlier = Window.partitionBy(*by, "_cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = attach(cuts.withColumns({f"_r_{n}": F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)) for n in values}), sizes, [*by, "_cut"])
+    return out.withColumns({f"{n}_before": F.col(f"_r_{n}") + F.col(f"_s_{n}") for n in values}).drop("_cut", *(f"_{x}_{n}" for x in "rvs" for n in values))
 
 
 def summed_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, before: str, total: str) -> DataFrame:

@@ -11,7 +11,7 @@ from parcela.plans.analytics import FOLDS, rounded
 from parcela.plans.sql import LISTING, plain
 from parcela.sources import tables as S
 
-COUNTY = "GERMANY"
+COUNTY = "NATION_3"
 
 #: Tagged points, road vertices and coast points, from the suppliers, parts and nations.
 POIS = """
