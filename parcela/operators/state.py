@@ -83,14 +83,22 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Map
     return picked(counts, by, value, probabilities)
 
 
+def fold_counts(df: DataFrame, by: Sequence[str], value: str, folds: int) -> DataFrame:
+    """(by, value, all, f0, f1, ...): how often each value that is not null stands in a group, and in each fold."""
+    own = {f"f{i}": F.count_if(F.col("fold") == i) for i in range(folds)}
+    return aggregate(df.where(F.col(value).isNotNull()), [*by, value], all=F.count("*"), **own)
+
+
 def fold_medians(df: DataFrame, by: Sequence[str], value: str, folds: int) -> DataFrame:
-    """(by, fold, median, n) of the values of all other folds, for every group and fold that has any.
+    """(by, fold, median, n) of the values of all other folds, for every group and fold that has any."""
+    return counted_medians(fold_counts(df, by, value, folds), by, value, folds)
 
-    Each distinct value is one row with its number in every fold. A fold's ranks are all ranks less its own, so one
-    ordering serves all folds and no row is copied."""
-    own = {f"f{i}": F.count_if(F.col("fold") == i) for i in range(folds)}
-    counts = aggregate(df.where(F.col(value).isNotNull()), [*by, value], all=F.count("*"), **own)
-    at = running(counts, by, [value], {c: F.col(c) for c in ("all", *own)})
+
+def counted_medians(counts: DataFrame, by: Sequence[str], value: str, folds: int) -> DataFrame:
+    """(by, fold, median, n) from values with their number in every fold.
+
+    A fold's ranks are all ranks less its own, so one ordering serves all folds and no row is copied."""
+    at = running(counts, by, [value], {c: F.col(c) for c in ("all", *(f"f{i}" for i in range(folds)))})
     each = []
     for i in range(folds):
         total, before, here = (F.col(f"all{x}") - F.col(f"f{i}{x}") for x in ("_total", "_before", ""))

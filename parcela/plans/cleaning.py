@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from parcela.functions import text as X
 from parcela.operators import clean as C
-from parcela.operators.state import aggregate, attach
+from parcela.operators.baseline import in_sample_baseline
+from parcela.operators.state import aggregate, attach, durable
+from parcela.plans.baselines import baseline_sql
 from parcela.plans.sql import GROUPED, LISTING, plain
 from parcela.sources import tables as S
 
 SEGMENT = ["county", "room_count", "m2_group"]
+#: Least rows of the baseline's levels where listings are cleaned: groups of twelve, and five more for broad ones.
+CLEAN_LEAST = {"specific": 12, "medium": 12, "broad": 17}
 
 
 def sized(spark: SparkSession, sf_dir: str, purpose: str | None = "sale") -> DataFrame:
@@ -31,9 +35,8 @@ def flt_basic_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flt_mad_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = S.listings(spark, sf_dir, "sale")
-    base = df.groupBy("county", "district").agg(F.median("unit_price").alias("base"))
-    out = C.location_outliers(attach(df, base, ["county", "district"]), "unit_price", "base", ["county", "room_count"])
+    df = durable(sized(spark, sf_dir).select("classified_id", "county", "district", "m2_group", "room_count", "unit_price"))
+    out = C.location_outliers(durable(in_sample_baseline(df, "unit_price", least=CLEAN_LEAST)), "unit_price", "location_baseline_m2", ["county", "room_count"])
     return out.select("classified_id", F.round("baseline_ratio", 6).alias("baseline_ratio"), F.round("ratio_z", 5).alias("ratio_z"), "location_outlier")
 
 
@@ -48,12 +51,12 @@ def flt_staged_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(df: DataFrame, rentals: DataFrame) -> DataFrame:
-    """Sales with anomaly scores: the district's median as baseline, its rents for the years of return, the flags as details."""
+    """Sales with anomaly scores: the location baseline of all sales, the district's rents for the years of return, the flags as details."""
     keys = ["county", "district"]
-    base = aggregate(df, keys, base=F.median("unit_price"), base_n=F.count("*"))
+    based = in_sample_baseline(durable(df), "unit_price", least=CLEAN_LEAST)
     rents = aggregate(rentals, keys, rent_m2=F.median(X.ratio(F.col("monthly_rent"), F.col("gross_m2"))))
     details = F.col("near_market") + F.col("in_parking") + F.col("view_sea")
-    return C.anomaly_scores(attach(attach(df, base, keys), rents, keys).withColumn("details", details), "base", "base_n", "rent_m2", "details")
+    return C.anomaly_scores(durable(attach(based, rents, keys).withColumn("details", details)), "location_baseline_m2", "location_baseline_count", "rent_m2", "details")
 
 
 def dq_anomaly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +161,8 @@ RULES = [
     ("very_large_property", "gross_m2 > 230", 7), ("very_small_property", "gross_m2 < 45", 7), ("floor_above_total", "total_floors > 0 AND floor_num > total_floors", 20), ("total_floors_extreme", "total_floors > 45", 8), ("building_age_extreme", "building_age > 80", 8),
     ("amortization_too_low", "unit_price / rent_m2 / 12 < 8", 10), ("amortization_too_high", "unit_price / rent_m2 / 12 > 45", 10), ("low_detail", "near_market + in_parking + view_sea <= 3", 5), ("group_mad_extreme", "abs(z) > 3.5", 15),
 ]
-ANOMALY = GROUPED + """, base AS (SELECT county, district, median(unit_price) base, count(*) base_n FROM grouped WHERE purpose = 'sale' GROUP BY ALL), rent AS (SELECT county, district, median(monthly_rent / gross_m2) rent_m2 FROM grouped WHERE purpose = 'rental' GROUP BY ALL),
-s AS (SELECT l.*, base, base_n, rent_m2, unit_price / base r, CAST(regexp_extract(room_count, '([0-9]+)', 1) AS DOUBLE) room FROM grouped l JOIN base USING (county, district) LEFT JOIN rent USING (county, district) WHERE purpose = 'sale'),
+ANOMALY = GROUPED + ", src AS (SELECT * FROM grouped WHERE purpose = 'sale')" + baseline_sql("src", least=CLEAN_LEAST) + """, rent AS (SELECT county, district, median(monthly_rent / gross_m2) rent_m2 FROM grouped WHERE purpose = 'rental' GROUP BY ALL),
+s AS (SELECT l.*, base_count AS base_n, rent_m2, unit_price / greatest(1e0, base_m) r, CAST(regexp_extract(room_count, '([0-9]+)', 1) AS DOUBLE) room FROM mb l LEFT JOIN rent USING (county, district)),
 m AS (SELECT county, room_count, m2_group, median(ln(r)) m, count(*) n FROM s GROUP BY ALL), d AS (SELECT s.*, m, n, abs(ln(r) - m) d FROM s JOIN m USING (county, room_count, m2_group)), k AS (SELECT county, room_count, m2_group, median(d) mad FROM d GROUP BY ALL),
 z AS (SELECT d.*, CASE WHEN n >= 12 AND mad > 1e-9 THEN 0.6745 * (ln(r) - m) / mad END z FROM d JOIN k USING (county, room_count, m2_group)),
 f AS (SELECT *, concat_ws('|', """ + ", ".join(f"CASE WHEN {c} THEN 'anom_{n}' END" for n, c, _ in RULES) + ") AS anomaly_reasons, least(100e0, " + " + ".join(f"CASE WHEN {c} THEN {w}e0 ELSE 0e0 END" for _, c, w in RULES) + """) AS anomaly_score FROM z),
@@ -172,7 +175,7 @@ w AS (SELECT quantile_cont(unit_price, 0.25) a, quantile_cont(unit_price, 0.75)
 SELECT classified_id, county, room_count, m2_group, unit_price, group_outlier, NOT group_outlier AND z > a AND (unit_price < a - 4 * (z - a) OR unit_price > z + 4 * (z - a)) AS global_outlier FROM f, w""",
     "flt_basic_range": LISTING + """ SELECT purpose, county, CASE WHEN gross_m2 BETWEEN 25 AND 180 AND unit_price BETWEEN 150 AND 1200 AND coalesce(monthly_rent BETWEEN 10 AND 400, true) THEN 'kept' ELSE 'range' END AS reason,
 count(*) AS n, round(avg(unit_price), 4) AS mean_unit_price FROM listing GROUP BY ALL""",
-    "flt_mad_location": LISTING + """, base AS (SELECT county, district, median(unit_price) base FROM listing WHERE purpose = 'sale' GROUP BY ALL), s AS (SELECT l.*, unit_price / base r FROM listing l JOIN base USING (county, district) WHERE purpose = 'sale'),
+    "flt_mad_location": GROUPED + ", src AS (SELECT * FROM grouped WHERE purpose = 'sale')" + baseline_sql("src", least=CLEAN_LEAST) + """, s AS (SELECT mb.*, unit_price / greatest(1e0, base_m) r FROM mb),
 m AS (SELECT county, room_count, median(ln(r)) m, count(*) n FROM s GROUP BY ALL), d AS (SELECT s.*, m.m, m.n, abs(ln(r) - m.m) d FROM s JOIN m USING (county, room_count)),
 k AS (SELECT county, room_count, median(d) mad FROM d GROUP BY ALL), z AS (SELECT d.*, CASE WHEN n >= 12 AND mad > 1e-9 THEN 0.6745 * (ln(r) - m) / mad END z FROM d JOIN k USING (county, room_count))
 SELECT classified_id, round(r, 6) AS baseline_ratio, round(z, 5) AS ratio_z, NOT r BETWEEN 0.5 AND 1.9 OR coalesce(abs(z) > 3.5, false) AS location_outlier FROM z""",
