@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 #: Letters with marks of the Latin and Turkish alphabets, and their plain letters.
 MARKED, PLAIN = "çğıöşüâîûéèêëáàäãåíìïóòôõúùñ", "cgiosuaiueeeeaaaaaiiioooouun"
 NULL_WORDS = ("", "nan", "none", "null", "-", "belirtilmemiş", "belirtilmemis")
-GENERIC_SUFFIXES = ("sitesi", "site", "evleri", "konutlari", "konaklari", "residence", "rezidans", "apartmani", "apt", "projesi")
-STOP_WORDS = ("satilik", "kiralik", "daire", "acil", "firsat", "luks", "sifir")
+# Generic words at the end of site names, and words that are no part of one.
+GENERIC_SUFFIXES = ("sitesi", "site", "sit", "konutlari", "evleri", "rezidans", "residence", "projesi", "proje", "blok")
+STOP_WORDS = (
+    "basiskele", "kocaeli", "izmit", "satilik", "kiralik", "daire", "konut", "arsa", "firsat", "acil", "guzel", "luks", "yeni", "merkez", "mahalle", "mah", "kat", "arakat",
+    "belirtilmemis", "yok", "var", "nan", "none", "missing", "other",
+)
 
 
 def clean(c: Column) -> Column:

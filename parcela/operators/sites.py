@@ -85,14 +85,16 @@ def merge_audit(df: DataFrame, site: str, variant: str, value: str, gap: float)
     return out.withColumns({"warning": F.when(warning, "possible_bad_merge").otherwise(""), "severe": warning & ((F.col("total_count") >= 8) | (F.col("n_variants") >= 3))})
 
 
-def attach_measured(df: DataFrame, measured: DataFrame, id_: str, indices: Sequence[str]) -> DataFrame:
-    """df with the indices of a measured table, one row for a trimmed id; values that df has stand before them.
+def attach_measured(df: DataFrame, measured: DataFrame, id_: str, indices: Sequence[str], order: str | None = None) -> DataFrame:
+    """df with the indices of a measured table; of several rows of a trimmed id the last one by `order` counts, whole
+    (without an order that of the largest values, so that the result does not hang on the layout). Values that df has stand before them.
 
     `has_measures` is 1 where any index is known, whatever the table says; else `missing_reason` is the table's, or
     `no_match_or_coords`."""
     key = F.trim(F.col(id_).cast("string"))
-    right = measured.select(key.alias("_id"), *(F.col(c).cast("double").alias(f"_{c}") for c in indices), F.col("missing_reason").alias("_why"))
-    right = aggregate(right, ["_id"], **{f"_{c}": F.min(f"_{c}") for c in indices}, _why=F.min("_why"))
+    right = measured.select(key.alias("_id"), *(F.col(c).cast("double").alias(f"_{c}") for c in indices), F.col("missing_reason").alias("_why"), *([F.col(order).alias("_at")] if order else []))
+    whole = [*(f"_{c}" for c in indices), "_why"]
+    right = aggregate(right, ["_id"], _row=F.max_by(F.struct(*whole), F.struct(*(["_at"] if order else []), *whole))).select("_id", "_row.*")
     out = df.withColumn("_id", key).join(right, "_id", "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) if c in df.columns else F.col(f"_{c}") for c in indices})
     has = F.coalesce(*indices).isNotNull()
     return out.withColumns({"has_measures": has.cast("double"), "missing_reason": F.when(has, "").otherwise(F.coalesce("_why", F.lit("no_match_or_coords")))}).drop("_id", "_why", *(f"_{c}" for c in indices))
