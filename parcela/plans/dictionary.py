@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcela.operators import json_columns as J
 from parcela.operators import site_dictionary as D
 from parcela.plans.analytics import PRED, predicted, rounded, sales
-from parcela.plans.sql import GROUPED, plain
+from parcela.plans.sql import GROUPED, LISTING, plain
 from parcela.sources import tables as S
 
 #: Names of parts as aliases of sites; some have a second phase.
@@ -47,6 +48,24 @@ def agg_site_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 5, "mean_residual", "mean_actual", "mean_pred", "mean_confidence")
 
 
+def documented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales with a JSON text of details: keys differ by row, some clash with columns, some texts are broken."""
+    d = S.listings(spark, sf_dir, "sale")
+    n = F.col("partkey") % 5
+    number = F.when(n == 0, F.concat(F.lit("\""), (F.col("gross_m2")).cast("int"), F.lit("\""))).when(n == 1, "\"much\"").when(n == 2, "true").otherwise((F.col("suppkey") % 7).cast("string"))
+    pairs = [
+        F.concat(F.lit("\"view_hill\": "), number), F.when(n < 3, F.concat(F.lit("\"near_school\": "), (F.col("suppkey") % 2).cast("string"))), F.concat(F.lit("\"other\": "), F.lit("1")),
+        F.when(n > 2, F.concat(F.lit("\"detail_muhit\": \""), F.col("title"), F.lit("|Okul\""))), F.when(n == 4, F.lit("\"in_parking\": 5")), F.concat(F.lit("\"title\": \"json\"")), F.lit("\"gross_m2\": \"\""),
+    ]
+    text = F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
+    broken = F.when(F.col("suppkey") % 11 == 0, F.substring(text, 1, 20)).when(F.col("suppkey") % 11 == 1, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    return d.withColumns({"raw": broken, "in_parking": F.when(F.col("partkey") % 3 > 0, F.col("in_parking").cast("string")).otherwise(""), "title": F.when(F.col("partkey") % 2 > 0, F.col("title")).otherwise(" ")})
+
+
+def src_json_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.expand_export(documented(spark, sf_dir), "raw").select("classified_id", "view_hill", "near_school", "detail_muhit", "in_parking", "title", "gross_m2")
+
+
 SITED = GROUPED + """, al0 AS (""" + plain(ALIASES) + """), al AS (SELECT alias, arg_min(canonical_id, place) AS canonical_id, arg_min(tier, place) AS tier, min(place) AS place FROM al0 GROUP BY alias),
 st AS (SELECT *, CASE partkey % 4 WHEN 0 THEN lower(title) WHEN 1 THEN lower(title) || ' 2' WHEN 2 THEN 'old ' || lower(title) || ' ' || lower(county) ELSE 'missing' END AS stem,
   CASE suppkey % 5 WHEN 0 THEN 'near ' || title || ' 4' WHEN 1 THEN title WHEN 2 THEN title || ' 4 and ' || title || ', etap' WHEN 3 THEN 'big ' || title || 's' END AS text FROM grouped WHERE purpose = 'sale'),
@@ -88,7 +107,7 @@ SELECT j.candidate_norm, arg_min(candidate_name, classified_id) AS candidate_nam
   round(avg(residual), 5) AS mean_residual, round(avg(unit_price), 5) AS mean_actual, round(avg(pred), 5) AS mean_pred, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, round(avg(confidence), 5) AS mean_confidence, min(example_titles) AS example_titles
 FROM jx j JOIN ox ON ox.candidate_norm = j.candidate_norm GROUP BY j.candidate_norm""".replace("{plus}", D.FAMILIES[0][2].replace("(?iu)", "(?i)").replace("'", "''")).replace("{inside}", D.FAMILIES[1][2].replace("(?iu)", "(?i)").replace("'", "''")).replace("{quoted}", D.FAMILIES[2][2].replace("'", "''"))
 
-QUERIES = {f.__name__: f for f in (enc_site_dictionary, dq_site_review, agg_site_extracted)}
+QUERIES = {f.__name__: f for f in (enc_site_dictionary, dq_site_review, agg_site_extracted, src_json_prefixes)}
 ORACLE_SQL = {
     "enc_site_dictionary": SITED.replace("\\\\", "\\") + """ SELECT classified_id, e2.site_project_id, match_source AS site_project_match_source, coalesce(n, 0) AS site_project_listing_count, CASE WHEN e2.site_project_id <> 'missing' THEN 1 ELSE 0 END AS has_site_project_id,
 CASE WHEN coalesce(n, 0) <= 0 THEN 0 WHEN n < 3 THEN 1 WHEN n < 8 THEN 2 WHEN n < 20 THEN 3 ELSE 4 END AS site_project_freq_bucket, coalesce(tier, 'unknown') AS site_quality_tier,
@@ -101,4 +120,8 @@ pr AS (SELECT site_project_id, round(avg(unit_price), 4) AS mean_price, round(me
 SELECT array_to_string(list_transform(string_split(stem, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS raw_name, proposed_canonical_id, reason, frequency, count(*) AS n, min(mean_price) AS mean_price, min(median_price) AS median_price
 FROM rv LEFT JOIN pr ON pr.site_project_id = rv.proposed_canonical_id GROUP BY stem, proposed_canonical_id, reason, frequency""",
     "agg_site_extracted": MENTIONED,
+    "src_json_prefixes": LISTING + """, j AS (SELECT *, partkey % 5 AS k, suppkey % 11 > 1 AS good FROM listing WHERE purpose = 'sale')
+SELECT classified_id, CASE WHEN good THEN CASE WHEN k = 0 THEN floor(gross_m2) WHEN k = 1 THEN NULL WHEN k = 2 THEN 1e0 ELSE CAST(suppkey % 7 AS DOUBLE) END END AS view_hill,
+  CASE WHEN good AND k < 3 THEN CAST(suppkey % 2 AS DOUBLE) END AS near_school, CASE WHEN good AND k > 2 THEN CASE WHEN true THEN title END || '|Okul' END AS detail_muhit,
+  CASE WHEN partkey % 3 > 0 THEN CAST(in_parking AS DOUBLE) WHEN good AND k = 4 THEN 5e0 END AS in_parking, CASE WHEN partkey % 2 > 0 THEN title WHEN good THEN 'json' ELSE ' ' END AS title, CAST(gross_m2 AS DOUBLE) AS gross_m2 FROM j""",
 }
