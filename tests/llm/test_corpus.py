@@ -441,6 +441,14 @@ def test_op2_counts_are_those_of_all_windows():
         assert sorted(gains.found(text)) == want
 
 
+@given(st.lists(st.tuples(st.integers(0, 6), st.booleans()), min_size=1, max_size=40), st.floats(0.05, 0.95))
+@settings(max_examples=200, deadline=None)
+def test_op2_chances_never_fall(rows, share):
+    strength, toxic = np.array([float(s) for s, _ in rows]), np.array([x for _, x in rows])
+    steps, chances = toxicity.pooled(strength, toxic, np.where(toxic, share, 1 - share))
+    assert list(steps) == sorted(steps) and all(a < b for a, b in itertools.pairwise(chances)) and all(0 < c < 1 for c in chances)
+
+
 def naive_features(text):
     words = WORD.findall(text or "")
     out = []
