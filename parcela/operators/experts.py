@@ -45,8 +45,8 @@ def products(df: DataFrame, by: Sequence[str], numeric: Sequence[str], target: s
     return whole.select(F.from_json("_key", schema).alias("k"), "sums").select("k.*", "sums")
 
 
-def ridge(sums: np.ndarray, fills: np.ndarray, chosen: Sequence[int], alpha: float) -> tuple[np.ndarray, float]:
-    """Coefficients (0 for features that are not chosen) and intercept of a ridge regression on standardised features."""
+def ridge(sums: np.ndarray, fills: np.ndarray, chosen: Sequence[int], alpha: float, scaled: bool = True) -> tuple[np.ndarray, float]:
+    """Coefficients (0 for features that are not chosen) and intercept of a ridge regression on standardised features (or on them as they are)."""
     p = len(fills)
     put = np.zeros((p + 2, 2 * p + 2))  # 1, filled features, target out of the kept sums
     put[0, 0] = put[-1, -1] = 1
@@ -59,14 +59,15 @@ def ridge(sums: np.ndarray, fills: np.ndarray, chosen: Sequence[int], alpha: flo
     at = np.array([c + 1 for c in chosen])
     deviation = np.sqrt(np.maximum(spread[at, at], 0) / n)
     deviation[deviation <= 1e-12 * np.maximum(1, np.abs(mean[at]))] = 1  # constant columns move nothing
-    scaled = spread[np.ix_(at, at)] / np.outer(deviation, deviation)
-    solved = np.linalg.solve(scaled + alpha * np.eye(len(at)), spread[at, -1] / deviation) / deviation
+    deviation = deviation if scaled else np.ones_like(deviation)
+    products_of = spread[np.ix_(at, at)] / np.outer(deviation, deviation)
+    solved = np.linalg.solve(products_of + alpha * np.eye(len(at)), spread[at, -1] / deviation) / deviation
     coefficients = np.zeros(p)
     coefficients[list(chosen)] = solved
     return coefficients, float(mean[-1] - solved @ mean[at])
 
 
-def solved(learned: DataFrame, medians: DataFrame, by: Sequence[str], numeric: Sequence[str], models: Mapping[str, tuple[Sequence[str], float]]) -> DataFrame:
+def solved(learned: DataFrame, medians: DataFrame, by: Sequence[str], numeric: Sequence[str], models: Mapping[str, tuple[Sequence[str], float]], scaled: bool = True) -> DataFrame:
     """(by, rows, fills, and for each model its coefficients and intercept) from (by, sums) and (by, fills)."""
     fields = [f"{m}_{x}" for m in models for x in ("c", "b")]
     types = ", ".join(f"`{m}_c` array<double>, `{m}_b` double" for m in models)
@@ -78,7 +79,7 @@ def solved(learned: DataFrame, medians: DataFrame, by: Sequence[str], numeric: S
         for batch in batches:
             sums, fills = (batch.column(c).to_pylist() for c in ("sums", "fills"))
             fills = [np.array([0.0 if v is None else v for v in (f or [None] * len(numeric))]) for f in fills]
-            out = [[x for chosen, alpha in asked.values() for x in ridge(np.array(s), f, chosen, alpha)] for s, f in zip(sums, fills, strict=True)]
+            out = [[x for chosen, alpha in asked.values() for x in ridge(np.array(s), f, chosen, alpha, scaled)] for s, f in zip(sums, fills, strict=True)]
             columns = [pa.array([r[i].tolist() if i % 2 == 0 else r[i] for r in out], pa.list_(pa.float64()) if i % 2 == 0 else pa.float64()) for i in range(len(fields))]
             own = [pa.array([s[0] for s in sums], pa.float64()), pa.array([f.tolist() for f in fills], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *own, *columns], names=[*by, "rows", "fills", *fields])
@@ -94,13 +95,13 @@ def filled_medians(df: DataFrame, by: Sequence[str], numeric: Sequence[str], fol
     return aggregate(found, keys, fills=F.array(*(F.max(F.when(F.col("_name") == c, F.col("median"))) for c in numeric)))
 
 
-def fold_ridges(df: DataFrame, by: Sequence[str], numeric: Sequence[str], target: str, models: Mapping[str, tuple[Sequence[str], float]], folds: int) -> DataFrame:
+def fold_ridges(df: DataFrame, by: Sequence[str], numeric: Sequence[str], target: str, models: Mapping[str, tuple[Sequence[str], float]], folds: int, scaled: bool = True) -> DataFrame:
     """(by, fold, rows, fills, coefficients): for every group and fold the models of the group's other folds; folds that leave nothing to learn from have none."""
     own = durable(products(df, [*by, "fold"], numeric, target))
     every = own.select(*by, "fold", F.posexplode("sums").alias("i", "s")).withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("held <> fold")
     others = every.groupBy(*by, "held", "i").agg(F.sum("s").alias("s")).groupBy(*by, "held").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e.s).alias("sums"))
     known = df.where(F.col(target).isNotNull())
-    return solved(others.withColumn("held", F.col("held").cast(df.schema["fold"].dataType)).withColumnRenamed("held", "fold"), filled_medians(known, by, numeric, folds), [*by, "fold"], numeric, models)
+    return solved(others.withColumn("held", F.col("held").cast(df.schema["fold"].dataType)).withColumnRenamed("held", "fold"), filled_medians(known, by, numeric, folds), [*by, "fold"], numeric, models, scaled)
 
 
 def applied(df: DataFrame, state: DataFrame, keys: Sequence[str], numeric: Sequence[str], models: Sequence[str]) -> DataFrame:
@@ -112,6 +113,18 @@ def applied(df: DataFrame, state: DataFrame, keys: Sequence[str], numeric: Seque
     return out.drop("rows", "fills", *(f"{m}_{x}" for m in models for x in "cb"))
 
 
+def group_importances(df: DataFrame, by: Sequence[str], numeric: Sequence[str], target: str, alpha: float = 10.0) -> DataFrame:
+    """(by, feature, importance, place): how far a deviation of each feature moves every group's ridge of all rows, dearest first."""
+    sums = durable(products(df, by, numeric, target))
+    known = df.where(F.col(target).isNotNull())
+    state = solved(sums, filled_medians(known, by, numeric, None), by, numeric, {"m": (list(numeric), alpha)})
+    filled = attach(known, state.select(*by, "fills"), by)
+    spread = aggregate(filled, by, **{f"_d{i}": F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.element_at("fills", i + 1), F.lit(0.0))) for i, c in enumerate(numeric)})
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.abs(F.element_at("m_c", i + 1) * F.col(f"_d{i}")).alias("importance")) for i, c in enumerate(numeric)))).alias("x")
+    out = attach(state.select(*by, "m_c"), spread, by).select(*by, each).select(*by, "x.*")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("importance"), "feature")))  # a row for each feature
+
+
 def error_columns(y: Column, p: Column) -> dict[str, Column]:
     """Rows, determination, relative and absolute error, all of which add up."""
     return {"rows": F.count(y), "r2": 1 - ratio(F.sum(F.pow(y - p, 2)), F.var_pop(y) * F.count(y)), "mape": F.avg(ratio(F.abs(p - y), y)), "mae": F.avg(F.abs(p - y))}
