@@ -13,7 +13,7 @@ from parcela.operators import models as L
 from parcela.operators import neighbours as N
 from parcela.operators import reports as R
 from parcela.operators import scores as Z
-from parcela.operators.state import aggregate, attach
+from parcela.operators.state import aggregate, attach, durable
 from parcela.plans.sql import GROUPED, LISTING, plain
 from parcela.sources import tables as S
 from parcela.streaming.incremental import to_do, upsert
@@ -37,9 +37,9 @@ def nudged(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales with `pred`: the mean of the other folds by county and rooms."""
-    df = E.with_fold(sales(spark, sf_dir), "classified_id", FOLDS)
-    return E.mean_encoding(df, ["county", "room_count"], "unit_price", 20.0, "pred")
+    """Sales with `pred`: the mean of the other folds by county and rooms. Written once, as what follows reads it several times."""
+    df = durable(E.with_fold(sales(spark, sf_dir), "classified_id", FOLDS))
+    return durable(E.mean_encoding(df, ["county", "room_count"], "unit_price", 20.0, "pred"))
 
 
 def agg_rent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ def agg_rent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_rental_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.rent_features(sales(spark, sf_dir), S.listings(spark, sf_dir, "rental").withColumn("m2_group", X.size_group(F.col("gross_m2"))))
+    used = ["classified_id", "county", "district", "m2_group", "room_count", "price", "gross_m2", "monthly_rent", "purpose"]
+    both = durable(S.listings(spark, sf_dir).withColumn("m2_group", X.size_group(F.col("gross_m2"))).select(*used))
+    out = M.rent_features(both.where("purpose = 'sale'"), both.where("purpose = 'rental'"))
     return rounded(out.select("classified_id", "rent", "rent_level", "rent_count", "rent_confidence", "amortization_years"), 6, "rent", "rent_confidence", "amortization_years")
 
 
@@ -129,21 +131,21 @@ def topk_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enc_target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = E.with_fold(sales(spark, sf_dir), "classified_id", FOLDS)
+    df = durable(E.with_fold(sales(spark, sf_dir), "classified_id", FOLDS).select("classified_id", "fold", "county", "district", "unit_price"))
     out = E.mean_encoding(df, ["county", "district"], "unit_price", 20.0, "mean_enc")
     return rounded(out.select("classified_id", "fold", "mean_enc", "mean_enc_count"), 5, "mean_enc")
 
 
 def enc_location_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = E.with_fold(sales(spark, sf_dir), "classified_id", FOLDS)
+    df = durable(E.with_fold(sales(spark, sf_dir), "classified_id", FOLDS).select("classified_id", "fold", "county", "district", "m2_group", "room_count", "unit_price"))
     levels = [(4, ["county", "district", "m2_group", "room_count"], 8), (3, ["county", "district", "m2_group"], 12), (2, ["county", "district"], 12), (1, ["county"], 20)]
     out = E.location_baseline(df, "unit_price", levels, FOLDS)
     return nudged(out.select("classified_id", "fold", "baseline", "baseline_level", "baseline_count"), 5, "baseline")
 
 
 def enc_detail_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sales(spark, sf_dir)
-    df = attach(df, aggregate(df, ["county"], m=F.median("unit_price")), ["county"]).withColumn("residual", F.ln(F.col("unit_price") / F.col("m")))
+    df = durable(sales(spark, sf_dir).select("county", "unit_price", "near_market", "in_parking", "view_sea"))
+    df = durable(attach(df, aggregate(df, ["county"], m=F.median("unit_price")), ["county"]).withColumn("residual", F.ln(F.col("unit_price") / F.col("m"))))
     return rounded(E.flag_premiums(df, ["near_market", "in_parking", "view_sea"], "residual"), 6, "effect")
 
 

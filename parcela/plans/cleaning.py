@@ -23,7 +23,7 @@ def sized(spark: SparkSession, sf_dir: str, purpose: str | None = "sale") -> Dat
 
 
 def flt_group_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = C.group_iqr(sized(spark, sf_dir), "unit_price", SEGMENT)
+    out = C.group_iqr(durable(sized(spark, sf_dir).select("classified_id", *SEGMENT, "unit_price")), "unit_price", SEGMENT)
     return out.select("classified_id", "county", "room_count", "m2_group", "unit_price", "group_outlier", "global_outlier")
 
 
@@ -41,7 +41,8 @@ def flt_mad_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flt_hier_outlier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = C.outlier_flags(S.listings(spark, sf_dir, "sale"))
+    used = ["classified_id", "county", "district", "room_count", "unit_price", "gross_m2", "net_m2", "building_age", "title"]
+    out = C.outlier_flags(durable(S.listings(spark, sf_dir, "sale").select(*used)))
     return out.select("classified_id", "outlier_level", "remove_reasons", "review_reasons", "is_removed", "needs_review")
 
 
