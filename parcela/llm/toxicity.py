@@ -7,7 +7,7 @@ bytes, is a window's gain.
 
 Labels stand on whole texts, of which most windows are ordinary, and passages that several texts share would be
 taken for what their class has in common; they are learned from once. So the toxic dictionary is trained in rounds: a
-first one on all windows of toxic texts; then only on those windows of toxic texts that gain more, by a
+first one of windows of toxic texts as they stand; then only on those windows of toxic texts that gain more, by a
 dictionary trained on other texts than theirs, than ordinary windows do. Nothing but compressed lengths chooses.
 
 A text is judged by how many windows reach each gain, against the rates of toxic and of ordinary labelled texts
@@ -16,7 +16,9 @@ chance of the label by that ratio is calibrated on the same unseen texts and nev
 
 The classifier is fitted on a bounded sample, TOXIC_TEXTS and ORDINARY_TEXTS of lowest id hash, whole texts all;
 every whole text is scored. Windows that hold no GRAM letters of the toxic dictionary that the ordinary one lacks
-have no gain and are not compressed.
+are not compressed and count as without gain: a definition made for speed. Compressed, most of them gain nothing, some
+gain a few bytes by matches that the ordinary dictionary has in pieces only. The first dictionary is the last
+FIRST_BYTES of the toxic windows, as far back as the compressor's window reaches.
 
 Defined results: null and empty texts have no window; without labels of both kinds every score is the share of
 toxic labels (0 without any); texts of any length are scored whole; repeated rows are scored alike; rows of null
@@ -170,16 +172,17 @@ class Model:
 
 def pooled(strength: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Steps of strength and the chance of a toxic label between them, never falling."""
+    one = float(weights.mean()) / 2  # half a text of either label, so that no chance is 0 or 1
     blocks: list[list[float]] = []  # least strength, weight of toxic, weight of all
+    chance = lambda b: (b[1] + one / 2) / (b[2] + one)
     for s in np.unique(strength):
         at = strength == s
         blocks.append([float(s), float(weights[at & toxic].sum()), float(weights[at].sum())])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+        while len(blocks) > 1 and chance(blocks[-2]) >= chance(blocks[-1]):
             _, a, b = blocks.pop()
             blocks[-1][1] += a
             blocks[-1][2] += b
-    one = float(weights.mean()) / 2  # half a text of either label, so that no chance is 0 or 1
-    return tuple(b[0] for b in blocks[1:]), tuple((a + one / 2) / (b + one) for _, a, b in blocks)
+    return tuple(b[0] for b in blocks[1:]), tuple(map(chance, blocks))
 
 
 def fit(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
