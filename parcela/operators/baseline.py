@@ -66,6 +66,11 @@ def market_baseline(df: DataFrame, target: str, folds: int, trend: str | None =
     A trend weighs more where fewer rows than a medium level needs stand behind the median. The medians are learned
     from `learn`, or from df itself."""
     state = durable(group_states(df if learn is None else learn, target, {str(k): keys for k, (keys, _) in LEVELS.items()}, folds))
+    return with_baseline(df, state, trend, least)
+
+
+def with_baseline(df: DataFrame, state: DataFrame, trend: str | None = None, least: Mapping[str, int] = LEAST) -> DataFrame:
+    """df (with `fold`) and its baseline from statistics of the levels that were learned before."""
     need = F.element_at(F.create_map(*(x for k, (_, size) in LEVELS.items() for x in (F.lit(str(k)), F.lit(least[size])))), F.col("_level"))
     by = [f"_{c}" for c in KEYS]
     asked = at_levels(places(df).select("*", F.struct(*by, "fold").alias("_of")), {str(k): keys for k, (keys, _) in LEVELS.items()}, ["fold", "_of"])
