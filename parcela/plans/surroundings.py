@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcela.functions.geo import utm35
 from parcela.operators import encoders as E
 from parcela.operators import geo_context as C
-from parcela.plans.analytics import FOLDS, rounded
+from parcela.operators import location as L
+from parcela.operators.state import durable
+from parcela.plans.analytics import FOLDS, haversine_sql, rounded
 from parcela.plans.sql import LISTING, plain
 from parcela.sources import tables as S
 
@@ -44,6 +47,25 @@ def enc_geo_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("classified_id", *C.FEATURES), 4, *C.FEATURES)
 
 
+#: Made-up anchors within the listings' area.
+ANCHORS = {"port": (40.61, 29.47), "square": (40.765, 29.94), "campus": (40.82, 29.92)}
+
+
+def enc_location_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all sales by centres that the sales of the first four folds have; some districts have few of them."""
+    df = around(spark, sf_dir).withColumn("district", F.when(F.col("partkey") % 500 == 0, F.concat(F.lit("d"), F.col("partkey"))).otherwise(F.col("district")))
+    df = durable(df.select("classified_id", "fold", "county", "district", "lat", "lon", "location_precision"))
+    out = L.location_features(df, df.where("fold < 4"), ANCHORS, "exact")
+    columns = [c for c in out.columns if c not in df.columns and c != "has_lat_lon"]
+    return out.select("classified_id", "has_lat_lon", *((F.round(c, 4) + 0.0).alias(c) for c in columns))  # no negative zero
+
+
+def geo_county_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = utm35(F.col("lat"), F.col("lon"))
+    df = durable(around(spark, sf_dir).where("lat is not null").select("classified_id", "county", x.alias("x"), y.alias("y")))
+    return rounded(L.group_clusters(df, ["county"], "x", "y", 4).select("classified_id", "cluster", "distance_to_cluster"), 3, "distance_to_cluster")
+
+
 def utm_sql(lat: str, lon: str) -> tuple[str, str]:
     """East and north of zone 35 in SQL."""
     p = f"radians({lat})"
@@ -114,5 +136,25 @@ GEO_SQL = (
     + " FROM s LEFT JOIN m ON s.fold = m.f"
 )
 
-QUERIES = {"enc_geo_context": enc_geo_context}
-ORACLE_SQL = {"enc_geo_context": GEO_SQL}
+PLACES = ("city", "county", "district")
+
+
+def centred_sql(place: str) -> str:
+    a, b = f"{place}_lat", f"{place}_lon"
+    angle = f"atan2(sin(radians(lon - {b})) * cos(radians(lat)), cos(radians({a})) * sin(radians(lat)) - sin(radians({a})) * cos(radians(lat)) * cos(radians(lon - {b})))"
+    return (
+        f"round(CASE WHEN has THEN lat - {a} ELSE 0e0 END, 4) + 0e0 AS lat_centered_{place}, round(CASE WHEN has THEN lon - {b} ELSE 0e0 END, 4) + 0e0 AS lon_centered_{place}, round(CASE WHEN has THEN {haversine_sql('lat', 'lon', a, b)} END, 4) AS distance_to_{place}_center_m, "
+        f"round(CASE WHEN has THEN sin({angle}) ELSE 0e0 END, 4) + 0e0 AS bearing_{place}_sin, round(CASE WHEN has THEN cos({angle}) ELSE 0e0 END, 4) + 0e0 AS bearing_{place}_cos"
+    )
+
+
+ANCHOR_SQL = {n: f"CASE WHEN has THEN {haversine_sql('lat', 'lon', f'{a}e0', f'{b}e0')} END" for n, (a, b) in ANCHORS.items()}
+LOCATION_SQL = LISTING + f""", s AS (SELECT classified_id, classified_id % {FOLDS} AS fold, county, CASE WHEN partkey % 500 = 0 THEN 'd' || partkey ELSE district END AS district, lat, lon, lat IS NOT NULL AND partkey % 3 = 0 AS has FROM listing WHERE purpose = 'sale'),
+k AS (SELECT * FROM s WHERE has AND fold < 4), a AS (SELECT avg(lat) AS city_lat, avg(lon) AS city_lon FROM k), b AS (SELECT county, avg(lat) AS y, avg(lon) AS x FROM k GROUP BY county HAVING count(*) >= 3),
+c AS (SELECT county, district, avg(lat) AS y, avg(lon) AS x FROM k GROUP BY county, district HAVING count(*) >= 3),
+j AS (SELECT s.*, city_lat, city_lon, coalesce(b.y, city_lat) AS county_lat, coalesce(b.x, city_lon) AS county_lon, coalesce(c.y, b.y, city_lat) AS district_lat, coalesce(c.x, b.x, city_lon) AS district_lon
+  FROM s LEFT JOIN b ON s.county = b.county LEFT JOIN c ON s.county = c.county AND s.district = c.district, a)
+SELECT classified_id, CASE WHEN has THEN 1e0 ELSE 0e0 END AS has_lat_lon, {', '.join(map(centred_sql, PLACES))}, {', '.join(f'round({e}, 4) AS distance_to_{n}_m' for n, e in ANCHOR_SQL.items())}, round(least({', '.join(ANCHOR_SQL.values())}), 4) AS distance_to_nearest_anchor_m FROM j"""
+
+QUERIES = {"enc_geo_context": enc_geo_context, "enc_location_features": enc_location_features, "geo_county_clusters": geo_county_clusters}
+ORACLE_SQL = {"enc_geo_context": GEO_SQL, "enc_location_features": LOCATION_SQL}
