@@ -57,7 +57,7 @@ def enc_location_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = durable(df.select("classified_id", "fold", "county", "district", "lat", "lon", "location_precision"))
     out = L.location_features(df, df.where("fold < 4"), ANCHORS, "exact")
     columns = [c for c in out.columns if c not in df.columns and c != "has_lat_lon"]
-    return out.select("classified_id", "has_lat_lon", *((F.round(c, 4) + 0.0).alias(c) for c in columns))  # no negative zero
+    return out.select("classified_id", "has_lat_lon", *((F.round(F.col(c) + 1e-9, 4) + 0.0).alias(c) for c in columns))  # a step off exact halves, no negative zero
 
 
 def geo_county_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +143,8 @@ def centred_sql(place: str) -> str:
     a, b = f"{place}_lat", f"{place}_lon"
     angle = f"atan2(sin(radians(lon - {b})) * cos(radians(lat)), cos(radians({a})) * sin(radians(lat)) - sin(radians({a})) * cos(radians(lat)) * cos(radians(lon - {b})))"
     return (
-        f"round(CASE WHEN has THEN lat - {a} ELSE 0e0 END, 4) + 0e0 AS lat_centered_{place}, round(CASE WHEN has THEN lon - {b} ELSE 0e0 END, 4) + 0e0 AS lon_centered_{place}, round(CASE WHEN has THEN {haversine_sql('lat', 'lon', a, b)} END, 4) AS distance_to_{place}_center_m, "
-        f"round(CASE WHEN has THEN sin({angle}) ELSE 0e0 END, 4) + 0e0 AS bearing_{place}_sin, round(CASE WHEN has THEN cos({angle}) ELSE 0e0 END, 4) + 0e0 AS bearing_{place}_cos"
+        f"round(CASE WHEN has THEN lat - {a} ELSE 0e0 END + 1e-9, 4) + 0e0 AS lat_centered_{place}, round(CASE WHEN has THEN lon - {b} ELSE 0e0 END + 1e-9, 4) + 0e0 AS lon_centered_{place}, round(CASE WHEN has THEN {haversine_sql('lat', 'lon', a, b)} END + 1e-9, 4) AS distance_to_{place}_center_m, "
+        f"round(CASE WHEN has THEN sin({angle}) ELSE 0e0 END + 1e-9, 4) + 0e0 AS bearing_{place}_sin, round(CASE WHEN has THEN cos({angle}) ELSE 0e0 END + 1e-9, 4) + 0e0 AS bearing_{place}_cos"
     )
 
 
@@ -154,7 +154,7 @@ k AS (SELECT * FROM s WHERE has AND fold < 4), a AS (SELECT avg(lat) AS city_lat
 c AS (SELECT county, district, avg(lat) AS y, avg(lon) AS x FROM k GROUP BY county, district HAVING count(*) >= 3),
 j AS (SELECT s.*, city_lat, city_lon, coalesce(b.y, city_lat) AS county_lat, coalesce(b.x, city_lon) AS county_lon, coalesce(c.y, b.y, city_lat) AS district_lat, coalesce(c.x, b.x, city_lon) AS district_lon
   FROM s LEFT JOIN b ON s.county = b.county LEFT JOIN c ON s.county = c.county AND s.district = c.district, a)
-SELECT classified_id, CASE WHEN has THEN 1e0 ELSE 0e0 END AS has_lat_lon, {', '.join(map(centred_sql, PLACES))}, {', '.join(f'round({e}, 4) AS distance_to_{n}_m' for n, e in ANCHOR_SQL.items())}, round(least({', '.join(ANCHOR_SQL.values())}), 4) AS distance_to_nearest_anchor_m FROM j"""
+SELECT classified_id, CASE WHEN has THEN 1e0 ELSE 0e0 END AS has_lat_lon, {', '.join(map(centred_sql, PLACES))}, {', '.join(f'round({e} + 1e-9, 4) AS distance_to_{n}_m' for n, e in ANCHOR_SQL.items())}, round(least({', '.join(ANCHOR_SQL.values())}) + 1e-9, 4) AS distance_to_nearest_anchor_m FROM j"""
 
 QUERIES = {"enc_geo_context": enc_geo_context, "enc_location_features": enc_location_features, "geo_county_clusters": geo_county_clusters}
 ORACLE_SQL = {"enc_geo_context": GEO_SQL, "enc_location_features": LOCATION_SQL}
