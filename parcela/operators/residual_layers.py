@@ -142,12 +142,19 @@ def layered(df: DataFrame, id_: str, p: str, inside: str, deltas: DataFrame, rep
     return attach(df, moved, [id_]).withColumn("layered", F.when(F.col(inside) & F.col("_d").isNotNull(), F.greatest(F.lit(0.0), F.col(p) + F.col("_d"))).otherwise(F.col(p))).drop("_d")
 
 
+def no_candidates(df: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """The report of a scope with too few rows: none was tried."""
+    names = [*measures, "scope_mape", "global_mape"]
+    columns = ["model string", "share double", *(f"{n} double" for n in names), *(f"before_{n} double" for n in names), "reasons array<string>", "place int"]
+    return df.sparkSession.createDataFrame([], ", ".join(columns))
+
+
 def enough(df: DataFrame, inside: str, least: int) -> bool:
     return len(df.where(inside).select(inside).take(least)) >= least
 
 
-def large_home_layer(df: DataFrame, id_: str, target: str, p: str, county: Column, large: Column, numeric: Sequence[str], folds: int, trees: Mapping[str, tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Predictions of a county's large homes moved by a share of their expected residual, and the report; None for the report where the scope has too few rows.
+def large_home_layer(df: DataFrame, id_: str, target: str, p: str, county: Column, large: Column, numeric: Sequence[str], folds: int, trees: Mapping[str, tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Predictions of a county's large homes moved by a share of their expected residual, and the report, empty where the scope has too few rows.
 
     Ridges of four penalties and boosted trees, by five shares. The best candidate (by the large homes' and the
     county's determination, then the county's relative error) is applied if the large homes' determination rises,
@@ -155,7 +162,7 @@ def large_home_layer(df: DataFrame, id_: str, target: str, p: str, county: Colum
     other homes do not lose."""
     rows = durable(df.withColumns({"_in": F.coalesce(county & large, F.lit(False)), "_county": F.coalesce(county, F.lit(False)), "_y": F.col(target), "_p": F.col(p), "pred_current": F.col(p)}))
     if not enough(rows, "_in", LEAST_LARGE):
-        return df.withColumn("layered", F.col(p)), None
+        return df.withColumn("layered", F.col(p)), no_candidates(df, ("large_r2", "county_r2", "other_r2"))
     features = [*numeric, "pred_current"]
     scope = rows.where("_in").withColumn("_delta", F.col("_y") - F.col("_p"))
     deltas = ridge_deltas(scope, id_, "_delta", features, folds, PENALTIES)
@@ -175,15 +182,15 @@ def large_home_layer(df: DataFrame, id_: str, target: str, p: str, county: Colum
     return layered(rows, id_, p, "_in", deltas, report).drop("_in", "_county", "_y", "_p", "pred_current"), report
 
 
-def spread_layer(df: DataFrame, id_: str, target: str, p: str, scope: Column, numeric: Sequence[str], folds: int) -> tuple[DataFrame, DataFrame | None]:
-    """Predictions of a scope spread towards the actual ones, and the report; None for the report where the scope has too few rows.
+def spread_layer(df: DataFrame, id_: str, target: str, p: str, scope: Column, numeric: Sequence[str], folds: int) -> tuple[DataFrame, DataFrame]:
+    """Predictions of a scope spread towards the actual ones, and the report, empty where the scope has too few rows.
 
     The delta models also see where a prediction stands among those they learned from (rank, decile, z). The best
     candidate (determination, variance, relative error) is applied if determination and variance rise, the errors
     stay within bounds, and the mean error of the cheapest or the dearest tenth shrinks."""
     rows = durable(df.withColumns({"_in": F.coalesce(scope, F.lit(False)), "_y": F.col(target), "_p": F.col(p), "pred_current": F.col(p)}))
     if not enough(rows, "_in", LEAST_SPREAD):
-        return df.withColumn("layered", F.col(p)), None
+        return df.withColumn("layered", F.col(p)), no_candidates(df, ("r2", "variance", "cheap", "rich"))
     inside = rows.where("_in").withColumn("_delta", F.col("_y") - F.col("_p"))
     features = [*numeric, "pred_current", "pred_rank", "pred_decile", "pred_z"]
     names = ridge_names(PENALTIES)

@@ -182,7 +182,7 @@ def test_spread_layer(spark):
     assert best.before_cheap == pytest.approx(np.mean(p[low] - y[low])) and best.before_r2 == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
     assert out.where("county = 'o' and layered <> p").count() == 0 and out.where("county = 'x' and layered <> p").count() > 140
     few, none = R.spread_layer(frame(spark, rows[:60]), "id", "y", "p", F.col("county") == "x", ["a"], 4)
-    assert none is None and few.where("layered <> p").count() == 0
+    assert none.count() == 0 and none.columns == report.columns and few.where("layered <> p").count() == 0
 
 
 def test_geo_context_against_all_pairs(spark):
