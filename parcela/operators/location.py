@@ -13,6 +13,8 @@ from parcela.operators.state import aggregate, attach, durable
 
 #: Rows with coordinates that a centre of its own needs.
 LEAST_CENTRE = 3
+#: Metres within which a listing lies at a centre, in no direction from it.
+SAME_PLACE = 0.01
 PRECISIONS = {"any": None, "approx": ("exact_map", "approx_map"), "exact": ("exact_map",)}
 
 
@@ -42,10 +44,12 @@ def location_features(df: DataFrame, learn: DataFrame, anchors: Mapping[str, tup
     columns: dict[str, Column] = {"has_lat_lon": has.cast("double")}
     for place in ("city", "county", "district"):
         sin, cos = bearing(F.col(f"{place}_lat"), F.col(f"{place}_lon"), F.col("lat"), F.col("lon"))
+        far = haversine(F.col("lat"), F.col("lon"), F.col(f"{place}_lat"), F.col(f"{place}_lon"))
+        apart = has & (far > SAME_PLACE)
         columns |= {
             f"lat_centered_{place}": F.when(has, F.col("lat") - F.col(f"{place}_lat")).otherwise(0.0), f"lon_centered_{place}": F.when(has, F.col("lon") - F.col(f"{place}_lon")).otherwise(0.0),
-            f"distance_to_{place}_center_m": F.when(has, haversine(F.col("lat"), F.col("lon"), F.col(f"{place}_lat"), F.col(f"{place}_lon"))),
-            f"bearing_{place}_sin": F.when(has, sin).otherwise(0.0), f"bearing_{place}_cos": F.when(has, cos).otherwise(0.0),
+            f"distance_to_{place}_center_m": F.when(has, far),
+            f"bearing_{place}_sin": F.when(apart, sin).otherwise(0.0), f"bearing_{place}_cos": F.when(apart, cos).otherwise(0.0),
         }
     each = {f"distance_to_{name}_m": F.when(has, haversine(F.col("lat"), F.col("lon"), F.lit(a), F.lit(b))) for name, (a, b) in anchors.items()}
     nearest = F.least(*each.values()) if len(each) > 1 else next(iter(each.values()), F.lit(None).cast("double"))

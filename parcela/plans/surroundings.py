@@ -144,7 +144,7 @@ def centred_sql(place: str) -> str:
     angle = f"atan2(sin(radians(lon - {b})) * cos(radians(lat)), cos(radians({a})) * sin(radians(lat)) - sin(radians({a})) * cos(radians(lat)) * cos(radians(lon - {b})))"
     return (
         f"round(CASE WHEN has THEN lat - {a} ELSE 0e0 END + 1e-9, 4) + 0e0 AS lat_centered_{place}, round(CASE WHEN has THEN lon - {b} ELSE 0e0 END + 1e-9, 4) + 0e0 AS lon_centered_{place}, round(CASE WHEN has THEN {haversine_sql('lat', 'lon', a, b)} END + 1e-9, 4) AS distance_to_{place}_center_m, "
-        f"round(CASE WHEN has THEN sin({angle}) ELSE 0e0 END + 1e-9, 4) + 0e0 AS bearing_{place}_sin, round(CASE WHEN has THEN cos({angle}) ELSE 0e0 END + 1e-9, 4) + 0e0 AS bearing_{place}_cos"
+        f"round(CASE WHEN has AND {haversine_sql('lat', 'lon', a, b)} > 0.01 THEN sin({angle}) ELSE 0e0 END + 1e-9, 4) + 0e0 AS bearing_{place}_sin, round(CASE WHEN has AND {haversine_sql('lat', 'lon', a, b)} > 0.01 THEN cos({angle}) ELSE 0e0 END + 1e-9, 4) + 0e0 AS bearing_{place}_cos"
     )
 
 
