@@ -40,9 +40,13 @@ HELD_PERCENT = 50
 #: Words, and pairs, that are numbered over all languages together; bits of the bitmap of frequent ones.
 HEAD, SLOTS = 1 << 17, 1 << 27
 #: Words of a task's chunk, numbers on a side of a tile, and pairs in a tile from which on it is counted densely.
-CHUNK, TILE, DENSE = 1 << 21, 512, 1 << 16
+CHUNK, TILE, DENSE = 1 << 20, 512, 1 << 16
 #: Bytes of a text that are looked at together, distinct words of a task that are counted before they are passed on, and rows of a part that is put in order.
-SECTION, WORDS_HELD, PART_ROWS = 1 << 20, 400_000, 20_000
+SECTION, WORDS_HELD, PART_ROWS = 1 << 20, 150_000, 20_000
+#: Rows of a batch that a task passes on.
+OUT_ROWS = 1 << 15
+#: Rare words of a language that a task remembers from one chunk to the next.
+RARE_HELD = 60_000
 UNKNOWN = "und"
 #: Upper-case letters become lower-case ones, tabs become blanks, and what separates pieces a byte that no UTF-8 holds.
 CUT = 0xFF
@@ -65,38 +69,56 @@ def sections(text: bytes) -> Iterator[list[bytes]]:
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)
+        langs, texts = batch.column(0), batch.column(1).cast(pa.binary())
+        for i in range(len(langs)):  # one text at a time is copied
+            yield langs[i].as_py(), texts[i].as_py()
 
 
-def record(rows: list[tuple]) -> pa.RecordBatch:
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of OUT_ROWS, so that neither side of the pipe holds a large one."""
+    for i in range(0, batch.num_rows, OUT_ROWS):
+        yield batch.slice(i, OUT_ROWS)
+
+
+def records(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     types = (pa.string(), pa.int64(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["lang", "code", "phrase", "n"])
+    for k in range(0, len(rows), OUT_ROWS):
+        own = rows[k : k + OUT_ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], t) for i, t in enumerate(types)], names=["lang", "code", "phrase", "n"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, n): every word of (lang, text)."""
+    """(lang, phrase, n): every word of (lang, text) that stands LEAST times or more, and with a null phrase all words' number."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter[bytes]] = {}
 
-        def rows() -> pa.RecordBatch:
-            out = [(lang, None, w.decode(), n) for lang, words in found.items() for w, n in words.items() if w != b"\xff"]
+        def rows() -> Iterator[pa.RecordBatch]:
+            for words in found.values():
+                words.pop(b"\xff", None)
+            out = [(lang, None, w.decode(), n) for lang, words in found.items() for w, n in words.items()]
+            out += [(lang, None, None, words.total()) for lang, words in found.items()]
             found.clear()
-            return record(out)
+            yield from records(out)
 
         for lang, text in texts_of(batches):
             for words in sections(text):
                 found.setdefault(lang, Counter()).update(words)
             if sum(map(len, found.values())) >= WORDS_HELD:
-                yield rows()
-        yield rows()
+                yield from rows()
+        yield from rows()
+
+    summed = texts.mapInArrow(counted, ROWS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return summed.where((F.col("n") >= LEAST) | F.col("phrase").isNull())
+
 
-    return texts.mapInArrow(counted, ROWS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+def seed_of(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 7)
 
 
 def slots(lang: str, codes: np.ndarray | None = None, phrases: list[bytes] | None = None) -> np.ndarray:
     """The bits of phrases, by code or by name."""
-    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 7)
+    seed = seed_of(lang)
     if phrases is not None:
         return np.fromiter((xxhash.xxh64_intdigest(p, seed) % SLOTS for p in phrases), np.int64, len(phrases))
     mixed = (codes.astype(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
@@ -122,7 +144,7 @@ class Head:
         self._order: dict[str, np.ndarray] = {}
 
     def may_be(self, at: np.ndarray) -> np.ndarray:
-        return (self.bits[at >> 6] >> (at & 63)) & 1 == 1
+        return (self.bits[at >> 3] >> (at & 7)) & 1 == 1
 
     def ranks(self, lang: str, codes: np.ndarray) -> np.ndarray:
         """Numbers of coded phrases, -1 for those without."""
@@ -142,21 +164,26 @@ class Numbers(dict):
     def __init__(self, head: Head, lang: str) -> None:
         super().__init__(zip(head.names.get(lang, []), range(HEAD)))  # noqa: B905
         self[b"\xff"] = -1
-        self.head, self.lang, self.tail, self.added = head, lang, [], []
+        self.head, self.lang, self.tail, self.rare = head, lang, [], []
+        self.seed, self.bits = seed_of(lang), memoryview(head.bits)
 
     def __missing__(self, word: bytes) -> int:
-        number = -1
-        if self.head.may_be(slots(self.lang, phrases=[word]))[0]:
+        number, at = -1, xxhash.xxh64_intdigest(word, self.seed) % SLOTS
+        if self.bits[at >> 3] >> (at & 7) & 1:
             number = HEAD + len(self.tail)
             self.tail.append(word)
+        else:
+            self.rare.append(word)
         self[word] = number
-        self.added.append(word)
         return number
 
     def forget(self) -> None:
-        for word in self.added:
+        """Drops the chunk's own numbers, and what is known of rare words when it is much."""
+        gone, self.tail = self.tail, []
+        if len(self.rare) > RARE_HELD:
+            gone, self.rare = gone + self.rare, []
+        for word in gone:
             del self[word]
-        self.tail, self.added = [], []
 
     def name(self, number: int) -> bytes:
         return self.head.names[self.lang][number] if number < HEAD else self.tail[number - HEAD]
@@ -207,7 +234,7 @@ def phrase_counts(texts: DataFrame, words: Broadcast, pairs: Broadcast | None) -
             whole[:] &= number[1:] >= 0  # the last two words are frequent too
         numbered = whole & (x < HEAD) & (y < HEAD)
         code, n = tally(x[numbered], y[numbered])
-        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(code)), pa.array(code), pa.nulls(len(code), pa.string()), pa.array(n)], names=["lang", "code", "phrase", "n"])
+        yield from parts(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(code)), pa.array(code), pa.nulls(len(code), pa.string()), pa.array(n)], names=["lang", "code", "phrase", "n"]))
         named_too = whole & ~numbered
         code, n = np.unique(x[named_too] << 32 | y[named_too], return_counts=True)
 
@@ -222,7 +249,7 @@ def phrase_counts(texts: DataFrame, words: Broadcast, pairs: Broadcast | None) -
                 left = numbers.name(pair >> 32) + b" " + numbers.name(pair & 0xFFFFFFFF)
             return left + b" " + numbers.name(c & 0xFFFFFFFF)
 
-        yield record([(lang, None, name(c).decode(), k) for c, k in zip(code.tolist(), n.tolist(), strict=True)])
+        yield from records([(lang, None, name(c).decode(), k) for c, k in zip(code.tolist(), n.tolist(), strict=True)])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Numbers] = {}
@@ -238,12 +265,12 @@ def phrase_counts(texts: DataFrame, words: Broadcast, pairs: Broadcast | None) -
                 held.setdefault(lang, []).append(np.fromiter((-1, *map(known[lang].__getitem__, part)), np.int64, len(part) + 1))
                 total += len(part)
                 if total >= CHUNK:
-                    for name, parts in held.items():
-                        yield from rows(name, known[name], np.concatenate(parts))
+                    for name, arrays in held.items():
+                        yield from rows(name, known[name], np.concatenate(arrays))
                         known[name].forget()
                     held, total = {}, 0
-        for name, parts in held.items():
-            yield from rows(name, known[name], np.concatenate(parts))
+        for name, arrays in held.items():
+            yield from rows(name, known[name], np.concatenate(arrays))
 
     return texts.mapInArrow(counted, ROWS).groupBy("lang", "code", "phrase").agg(F.sum("n").alias("n"))
 
@@ -251,7 +278,7 @@ def phrase_counts(texts: DataFrame, words: Broadcast, pairs: Broadcast | None) -
 def head_of(counts: DataFrame) -> Broadcast:
     """The head of durable frequent phrases (lang, code, phrase, n); phrases of one frequency are numbered all or none.
 
-    The driver gets HEAD phrases and SLOTS bits at most."""
+    The driver gets HEAD phrases, and the bytes of the bitmap that are not zero, SLOTS / 8 at most."""
     can = counts if "code" not in counts.columns else counts.where(F.col("code").isNotNull())
     down = Window.orderBy(F.desc("n"))
     frequencies = can.groupBy("n").agg(F.count("*").alias("rows"))  # so few that their number grows with the root of the words'
@@ -268,12 +295,12 @@ def head_of(counts: DataFrame) -> Broadcast:
                 by.setdefault((lang, code is None), []).append(phrase.encode() if code is None else code)
             at = [slots(lang, phrases=of) if named else slots(lang, codes=np.array(of, dtype=np.int64)) for (lang, named), of in by.items()]
             at = np.concatenate(at) if at else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=["word", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array((1 << (at & 7)).astype(np.int32))], names=["byte", "bit"])
 
-    others = rows.where(~numbered).select("lang", "code", "phrase").mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table_ = np.zeros(SLOTS // 64, dtype=np.int64)
-    table_[others.column("word").to_numpy()] = others.column("bits").to_numpy()
-    return counts.sparkSession.sparkContext.broadcast(Head(rows.where(numbered).select("lang", "code", "phrase", "n").collect(), table_))
+    frequent = rows.select("lang", "code", "phrase").mapInArrow(bits, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(SLOTS // 8, dtype=np.uint8)
+    held[frequent.column("byte").to_numpy()] = frequent.column("bits").to_numpy()
+    return counts.sparkSession.sparkContext.broadcast(Head(rows.where(numbered).select("lang", "code", "phrase", "n").collect(), held))
 
 
 def named(counts: DataFrame, words: Broadcast, pairs: Broadcast | None) -> DataFrame:
@@ -353,8 +380,8 @@ def collocations(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first phrases."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     every = durable(word_counts(texts))
-    sizes = every.groupBy("lang").agg(F.sum("n").alias("_size"))
-    words = durable(every.where(F.col("n") >= LEAST))
+    sizes = every.where(F.col("phrase").isNull()).select("lang", F.col("n").alias("_size"))
+    words = every.where(F.col("phrase").isNotNull())
     word_head = head_of(words)
     two = durable(phrase_counts(texts, word_head, None).where(F.col("n") >= LEAST))
     pair_head = head_of(two)
@@ -375,7 +402,7 @@ def collocations(docs: DataFrame, kept: int = KEPT) -> DataFrame:
         F.when(second, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.when(second, F.col("s2")).otherwise(F.col("s1")).alias("score"),
     )
     scored = durable(scored)
-    out = first_of(scored, scored.count(), kept).join(F.broadcast(sizes.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"))
+    out = first_of(scored, scored.count(), kept).join(sizes.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"))
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("_size").alias("n"), "score")
 
 
@@ -388,7 +415,8 @@ OP11_SQL = r"""
 WITH d AS (
   SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS words FROM p),
 f1 AS (SELECT lang, phrase, count(*) AS f FROM (SELECT lang, unnest(words) AS phrase FROM w) GROUP BY lang, phrase),
 f2 AS (
