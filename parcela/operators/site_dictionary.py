@@ -153,14 +153,17 @@ def mentions(df: DataFrame, id_: str, site: str, texts: Sequence[str]) -> DataFr
 
 def mentioned_sites(found: DataFrame, df: DataFrame, id_: str, decile: str, residual: str, actual: str, predicted: str, title: str, examples: int = 3) -> DataFrame:
     """A row for each folded name: a spelling, distinct listings, listings of the dearest tenth that are predicted too low,
-    means, sources, mean confidence and the titles of its first listings, cut at 80 letters."""
+    means, sources, mean confidence and the titles of its first listings, cut at 80 letters.
+
+    Confidences are short decimals, so their mean often lies on an exact half; they are added as decimals, so that it does
+    not fall beside it by the order in which rows are added."""
     facts = df.select(F.col(id_).alias("_id"), F.col(decile).alias("_d"), F.col(residual).alias("_r"), F.col(actual).alias("_y"), F.col(predicted).alias("_p"), F.col(title).alias("_t"))
     top = facts.agg(F.max("_d").alias("_top"))
     rows = attach(found.join(facts, F.col(id_) == F.col("_id")), top, [])
     low = ((F.col("_d") == F.col("_top")) & (F.col("_r") < 0)).cast("int")
     out = aggregate(
         rows, ["candidate_norm"], candidate_name_example=F.min_by("candidate_name", "_id"), n_listings=F.count_distinct("_id"), n_top_expensive_underpred=F.coalesce(F.sum(low), F.lit(0)),
-        mean_residual=F.avg("_r"), mean_actual=F.avg("_y"), mean_pred=F.avg("_p"), sources=F.array_join(F.sort_array(F.collect_set("source_field")), ","), mean_confidence=F.avg("confidence"),
+        mean_residual=F.avg("_r"), mean_actual=F.avg("_y"), mean_pred=F.avg("_p"), sources=F.array_join(F.sort_array(F.collect_set("source_field")), ","), mean_confidence=F.sum(F.col("confidence").cast("decimal(28,18)")).cast("double") / F.count("confidence"),
     )
     place = F.row_number().over(Window.partitionBy("candidate_norm").orderBy("_id"))  # the first three of each name, cut before they are gathered
     first = rows.select("candidate_norm", "_id", F.substring("_t", 1, 80).alias("_t")).distinct().withColumn("_n", place).where(F.col("_n") <= examples)
