@@ -1,14 +1,16 @@
 """Toxicity by compression distance between a toxic and an ordinary zstandard dictionary.
 
-Two dictionaries are trained on windows of labelled texts, one on toxic and one on ordinary texts. A text is cut
-into overlapping windows of WINDOW words; each is compressed with either dictionary, inside the same ordinary
-frame (zstandard stores very short inputs as they are). What the toxic dictionary saves over the ordinary one, in
-bytes, is a window's gain.
+One dictionary is trained on windows of ordinary labelled texts; the toxic one is this one with words of toxic texts
+behind it, so that what both hold costs the same in both. A text is cut into overlapping windows of WINDOW words; each
+is compressed with either dictionary, inside the same ordinary frame (zstandard stores very short inputs as they are).
+What the toxic dictionary saves over the ordinary one, in bytes, is a window's gain.
 
 Labels stand on whole texts, of which most windows are ordinary, and passages that several texts share would be
-taken for what their class has in common; they are learned from once. So the toxic dictionary is trained in rounds: a
-first one of windows of toxic texts as they stand; then only on those windows of toxic texts that gain more, by a
-dictionary trained on other texts than theirs, than ordinary windows do. Nothing but compressed lengths chooses.
+taken for what their class has in common; they are learned from once. So the words of the toxic dictionary are chosen in
+rounds: at first raw windows of toxic texts stand for it; a word tells in a text if more than half of the windows
+that it stands in gain, by a dictionary of other texts than this one; words that tell in TIMES as large a share of the
+toxic as of the ordinary texts make the next dictionary. Compressed lengths and these shares choose, nothing else.
+(A dictionary of whole gaining windows also held the words beside those that tell, by which ordinary texts gained.)
 
 A text is judged by how many windows reach each gain, against the rates of toxic and of ordinary labelled texts
 that the dictionaries have not seen, as a likelihood ratio in which the density of toxic windows is free. The
@@ -29,6 +31,7 @@ result.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -45,9 +48,9 @@ ORDINARY_BYTES, TOXIC_BYTES, FIRST_BYTES = 112_000, 3_000, 112_000
 WINDOW, LEARNED_WINDOW = 2, 8
 GRAM = 6
 COPIED = 5
-#: Windows of toxic texts are learned from if at most one in so many ordinary windows gains as much.
-RARE = 300
-ROUNDS, FOLDS = 3, 3
+#: Words are learned from if so many times as large a share of the toxic as of the ordinary texts has them where they gain.
+TIMES = 10
+ROUNDS, FOLDS = 2, 3
 GAINS = range(3, 13)
 #: Densities of toxic windows that a text is tried for, as multiples of that of the labelled texts.
 DENSITIES = (0.03, 0.1, 0.3, 1.0, 3.0)
@@ -90,6 +93,13 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:] + FRAME
 
 
+def chosen(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int) -> bytes:
+    """The words, given by text, that TIMES as many toxic as ordinary texts have; those of most texts last, as far as there is room."""
+    a, b = (Counter(w for words in texts for w in words) for texts in (toxic, ordinary))
+    most = TIMES * max(1, len(toxic)) / max(1, len(ordinary))
+    return b"".join(sorted((w for w, n in a.items() if n >= most * (b[w] + 0.5)), key=lambda w: (a[w], w)))[-size:] + FRAME
+
+
 def compressor(dictionary: bytes):
     parameters = zstd.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **PARAMETERS)
     content = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -101,7 +111,7 @@ class Gains:
     """The gains of a text's windows."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.with_toxic, self.with_ordinary = compressor(toxic), compressor(ordinary)
+        self.with_toxic, self.with_ordinary = compressor(ordinary + toxic), compressor(ordinary)
         grams = lambda d: {t[i : i + GRAM] for t in [d.decode("utf-8", "ignore")] for i in range(len(t) - GRAM + 1)}
         self.own = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for gram in grams(toxic) - grams(ordinary):
@@ -141,6 +151,12 @@ class Gains:
                 out.append((g, window))
         return out
 
+    def telling(self, text: str) -> list[bytes]:
+        """The words of which more than half of the windows gain (each stands in two), each once."""
+        n = Counter(w for _, window in self.found(text) for w in window.split())
+        words = Counter(text.encode("utf-8", "replace").split(b" "))
+        return [b" " + w + b" " for w, gaining in n.items() if gaining > words[w]]
+
     def counts(self, text: str) -> np.ndarray:
         """Number of windows by gain (those of the last gain and more together), and of all windows, last."""
         out = np.zeros(len(GAINS) + 1)
@@ -189,29 +205,20 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     toxic_texts, texts = (list(without_copies(plain(t) for t, label in sample if label == y and t)) for y in (1, 0))
     parts = [toxic_texts[k::FOLDS] for k in range(FOLDS)]
-    known, unseen = [t for i, t in enumerate(texts) if i % FOLDS], texts[::FOLDS]
+    known, choosing, unseen = [t for i, t in enumerate(texts) if i % 4 > 1], texts[1::4], texts[::4]
     if not known or not unseen or sum(map(bool, parts)) < 2:
         return Model(chances=(share,))
     ordinary = trained([w for t in known for w in windows(t, LEARNED_WINDOW, LEARNED_WINDOW)], ORDINARY_BYTES)
-    n_unseen = sum(t.count(" ") + 1 for t in unseen)
-    learned = [[w for t in part for w in windows(t, LEARNED_WINDOW, LEARNED_WINDOW)] for part in parts]
-    dictionaries = []
-    for turn in range(ROUNDS):
-        dictionaries, picked = [], []
-        for k in range(FOLDS):
-            others = [w for j in range(FOLDS) if j != k for w in learned[j]]
-            dictionaries.append(b"".join(others)[-FIRST_BYTES:] + FRAME if turn == 0 else trained(others, TOXIC_BYTES))
-            gains = Gains(dictionaries[k], ordinary)
-            seen = sorted((g for t in unseen for g, _ in gains.found(t)), reverse=True)
-            most = n_unseen // RARE
-            least = max(GAINS[0], seen[most] + 1 if len(seen) > most else 0)
-            picked.append([w for t in parts[k] for g, w in gains.found(t) if g >= least])
-        if sum(map(bool, picked)) < 2:
-            break
-        learned = picked
-    toxic = trained([w for part in learned for w in part], TOXIC_BYTES)
-    dictionaries = [trained([w for j in range(FOLDS) if j != k for w in learned[j]], TOXIC_BYTES) for k in range(FOLDS)]
-    of_toxic = [c for k in range(FOLDS) for gains in [Gains(dictionaries[k], ordinary)] for c in map(gains.counts, parts[k])]
+    others = lambda each: [[x for j in range(FOLDS) if j != k for x in each[j]] for k in range(FOLDS)]
+    dictionaries = [b"".join(w for t in texts_ for w in windows(t, LEARNED_WINDOW, LEARNED_WINDOW))[-FIRST_BYTES:] + FRAME for texts_ in others(parts)]
+    told, met = [], []
+    for _ in range(ROUNDS):
+        of = [Gains(d, ordinary) for d in dictionaries]
+        told = [[g.telling(t) for t in part] for g, part in zip(of, parts, strict=True)]
+        met = [sorted({w for g in of for w in g.telling(t)}) for t in choosing]
+        dictionaries = [chosen(words, met, TOXIC_BYTES) for words in others(told)]
+    toxic = chosen([words for part in told for words in part], met, TOXIC_BYTES)
+    of_toxic = [c for d, part in zip(dictionaries, parts, strict=True) for gains in [Gains(d, ordinary)] for c in map(gains.counts, part)]
     gains = Gains(toxic, ordinary)
     of_ordinary = [gains.counts(t) for t in unseen]
     a, b = np.sum(of_toxic, axis=0), np.sum(of_ordinary, axis=0)

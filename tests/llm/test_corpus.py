@@ -432,6 +432,14 @@ def test_op2_toxic_words_are_found(spark):
     assert test[test.y].predicted.mean() >= 0.9 and test[~test.y].predicted.mean() <= 0.02
 
 
+def test_op2_short_toxic_words_are_found(spark):
+    """Texts of sf0.01 with words that toxic labels alone have there; most have one to three of them, labelled or not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = toxicity.score_toxicity(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    toxic = out.text.fillna("").str.lower().str.contains(r"(?<![^\W\d_])(?:trash|idiot|pathetic|worthless|scum|stupid|loser|moron|disgusting|clown)(?![^\W\d_])")
+    assert toxic.sum() == 70 and out[toxic].predicted.mean() >= 0.85 and out[~toxic].predicted.mean() <= 0.02
+
+
 def test_op2_counts_are_those_of_all_windows():
     """Windows without an own gram of the toxic dictionary are left out by definition; all others are compressed once."""
     gains = toxicity.Gains(b" you clown and idiot " + toxicity.FRAME, b" ordinary words stand here " + toxicity.FRAME)
