@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4000
 #: Narrow rows (links, pairs) that one task takes.
 TASK_ROWS = 20_000
+#: Bytes of input that a Python worker turns into objects at a time, about.
+SLICE_BYTES = 1 << 20
 #: Arrow's name of each type that the operators' own columns have.
 ARROW = {
     "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
@@ -46,6 +48,14 @@ def tasks_for(rows: int) -> int:
     return -(-rows // TASK_ROWS) or 1
 
 
+def slices(batches: Iterator[pa.RecordBatch], inputs: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in turn, few enough at a time that their inputs hold about SLICE_BYTES, so that a worker's memory does not hang on the length of texts."""
+    for batch in batches:
+        size = sum(batch.column(c).nbytes for c in inputs)
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(size, 1)))
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def map_rows(df: DataFrame, inputs: Sequence[str], compute: Callable, fields: Mapping[str, str], keep: Sequence[str] | None = None) -> DataFrame:
     """The columns `keep` of df (all, if None) and the `fields` (name and type) that compute makes of the `inputs`.
 
@@ -57,7 +67,7 @@ def map_rows(df: DataFrame, inputs: Sequence[str], compute: Callable, fields: Ma
     schema = T.StructType([*(df.schema[c] for c in kept), *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields.items())).fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, inputs):
             which, *made = compute(*(batch.column(c).to_pylist() for c in inputs))
             columns = [batch.column(c) if which is None else batch.column(c).take(pa.array(which, pa.int64())) for c in kept]
             columns += [pa.array(values, ARROW[t]) for values, t in zip(made, fields.values(), strict=True)]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm.common import durable, free_name, map_rows, table
+from parcela.llm.common import durable, free_name, map_rows, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
@@ -45,6 +45,8 @@ STEP = 80
 LEAST_TERM = 3
 LEAST_WINDOWS = 2
 LEAST_DISCLOSURE, REMOVE_DISCLOSURE = 0.8, 0.95
+#: Words that a task counts before it passes them on.
+HELD = 100_000
 #: Tables of texts with disclosing terms up to this size are broadcast, larger ones are joined by shuffling.
 MOST_BROADCAST = 50_000
 
@@ -146,18 +148,25 @@ def contexts(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often each of the terms stands in the corpus.
 
-    All words are counted batch by batch where they lie; only the counts meet the terms, by shuffling."""
+    All words are counted where they lie, HELD at a time; only the counts meet the terms, by shuffling."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words: Counter[str] = Counter()
-            for text in batch.column("text").to_pylist():
-                words.update(WORDS.findall(text or ""))
+        words: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
             n: Counter[str] = Counter()
-            for word, times in words.items():
+            while words:
+                word, times = words.popitem()
                 if t := term(word):
                     n[t] += times
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+        for batch in slices(batches, ["text"]):
+            for text in batch.column("text").to_pylist():
+                words.update(WORDS.findall(text or ""))
+            if len(words) >= HELD:
+                yield counted()
+        yield counted()
 
     counts = docs.select("text").mapInArrow(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return counts.join(terms, "term")

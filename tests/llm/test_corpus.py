@@ -391,6 +391,23 @@ def test_ids_and_longs_beside_nulls_stay_whole(spark):
     assert {(r.doc_id, r.extra) for r in quality_rules.keep_good(df, known).collect()} == {(BIG, BIG + 2), (BIG + 8, None)}
 
 
+def test_workers_take_texts_in_slices(spark):
+    """4 MB of texts in one Arrow batch reach the Python function about a megabyte at a time; no row is lost or moved."""
+    from parcela.llm import common
+
+    df = spark.range(2001).selectExpr("id doc_id", "repeat('x', int(1000 + id % 7 * 300)) text").coalesce(1)
+    out = common.map_rows(df, ["text"], lambda texts: (None, [len(t) for t in texts], [sum(map(len, texts))] * len(texts)), {"n": "long", "together": "long"}, ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.n) for r in out) == [(i, 1000 + i % 7 * 300) for i in range(2001)]
+    assert max(r.together for r in out) <= 2 * common.SLICE_BYTES
+
+
+def test_op6_words_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "HELD", 3)
+    docs = spark.createDataFrame([(i, f"one two, (three) num{i} ONE", "x") for i in range(40)], "doc_id long, text string, lang string")
+    terms = spark.createDataFrame([("one",), ("three",), ("num7",), ("none",)], "term string")
+    assert {r.term: r.n for r in pii.term_counts(docs, terms).collect()} == {"one": 80, "three": 40, "num7": 1}
+
+
 def test_op6_hard_rows(spark):
     out = pii.find_pii(hard(spark))
     row = out.where("doc_id = 7").first()
