@@ -21,23 +21,24 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import islice, tee
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import durable, map_rows, table
+from parcela.llm.common import durable, slices, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words, or n-grams of one length, that the model keeps over all languages, and most numbers it keeps for them.
 ENTRIES, CELLS = 240_000, 6_000_000
-#: Words that a task remembers the n-grams' result of.
+#: Words that a task remembers the logarithms of.
 REMEMBERED = 100_000
-#: Longest part of a word whose n-grams are looked at together, and words that a task counts before it passes them on.
+#: N-grams that are added up together, and words that a task counts before it passes them on.
 PART, HELD = 4096, 300_000
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -48,10 +49,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def words_of(text: str | None) -> Counter[str]:
-    return Counter(LETTERS.findall((text or "").lower()))
-
-
 def grams(word: str, n: int) -> list[str]:
     """All n-grams of a marked word; the word itself if it is shorter."""
     marked = f" {word} " if n > 1 else word
@@ -83,18 +80,34 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, size, word, n): how often each n-gram stands in the words, repeats included."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], dict[str, int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            flat = [(lang, size, gram, n) for (lang, size), counts in found.items() for gram, n in counts.items()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "size", "word", "n"])
+
         for batch in batches:
-            found: Counter[tuple[str, int, str]] = Counter()
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for size in LENGTHS:
+                    counts = found.setdefault((lang, size), {})
                     for gram in grams(word, size):
-                        found[lang, size, gram] += n
-            columns = [pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.int64())], names=["lang", "size", "word", "n"])
+                        counts[gram] = counts.get(gram, 0) + n
+            if sum(map(len, found.values())) >= HELD:
+                yield rows()
+        yield rows()
 
     return words.select("lang", "word", "n").mapInArrow(counted, "lang string, size int, word string, n long").groupBy("lang", "size", "word").agg(F.sum("n").alias("n"))
 
 
+class Numbers(dict):
+    """Words numbered as they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 @dataclass
 class Model:
     """For each length (0: whole words) the logarithms of every language, a row for each entry; the prior last."""
@@ -103,34 +116,69 @@ class Model:
     entries: dict[int, dict[str, int]]
     logs: dict[int, np.ndarray]
     prior: np.ndarray
-    seen: dict[str, np.ndarray | None] = field(default_factory=dict)
 
-    def back_off(self, word: str) -> np.ndarray | None:
-        """The mean of the logarithms of the word's known n-grams, of the longest length that knows any."""
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """The logarithms that each word adds: its own, or else the mean of those of its known n-grams, of the longest
+        length that knows any; 0 where none is known."""
+        out, whole = np.zeros((len(words), len(self.langs))), self.entries.get(0, {})
+        own = [(i, whole[w]) for i, w in enumerate(words) if w in whole]
+        if own:
+            at, rows = map(list, zip(*own, strict=True))
+            out[at] = self.logs[0][rows]
+        left = [i for i, w in enumerate(words) if w not in whole]
         for n in LENGTHS:
-            known = self.entries.get(n, {})
-            rows = [known[g] for g in grams(word, n) if g in known]
-            if rows:
-                return sum(self.logs[n][rows[i : i + PART]].sum(axis=0) for i in range(0, len(rows), PART)) / len(rows)
-        return None
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        total, whole, logs = self.prior.copy(), self.entries.get(0, {}), self.logs.get(0)
-        known = [(whole[w], n) for w, n in words.items() if w in whole]
-        if known:
-            rows, times = np.array(known).T
-            total += times @ logs[rows]
-        for word, n in words.items():
-            if word not in whole:
-                if word not in self.seen:
-                    if len(self.seen) >= REMEMBERED:
-                        self.seen.clear()
-                    self.seen[word] = self.back_off(word)
-                if self.seen[word] is not None:
-                    total += n * self.seen[word]
+            known, still, at, sizes, rows = self.entries.get(n, {}), [], [], [], []
+
+            def add(n=n, at=at, sizes=sizes, rows=rows) -> None:
+                if at:
+                    out[at] = np.add.reduceat(self.logs[n][rows], np.cumsum([0, *sizes[:-1]]), axis=0) / np.array(sizes)[:, None]
+                    for x in (at, sizes, rows):
+                        x.clear()
+
+            for i in left:
+                found = [known[g] for g in grams(words[i], n) if g in known]
+                if not found:
+                    still.append(i)
+                elif len(found) > PART:
+                    out[i] = sum(self.logs[n][found[k : k + PART]].sum(axis=0) for k in range(0, len(found), PART)) / len(found)
+                else:
+                    at.append(i)
+                    sizes.append(len(found))
+                    rows += found
+                    if len(rows) > PART:
+                        add()
+            add()
+            left = still
+        return out
+
+    def predictions(self, batches: Iterable[list[str | None]]) -> Iterator[list[tuple[str, float]]]:
+        """The language and its chance for each text of each batch. A text is the sum of its words' rows in a table of the
+        words met so far, which is begun anew when it is full."""
+        most = max(1, min(REMEMBERED, CELLS // max(1, len(self.langs))))
+        numbers, table_ = Numbers(), np.zeros((0, len(self.langs)))
+        for texts in batches:
+            totals: dict[int, np.ndarray] = {}
+            held: list[tuple[int, np.ndarray]] = []
+
+            def settle() -> None:
+                nonlocal table_
+                table_ = np.concatenate([table_, self.of_words(list(islice(numbers, len(table_), None)))])
+                for k, codes in held:  # noqa: B023
+                    totals[k] = totals.get(k, self.prior) + table_[codes].sum(axis=0)  # noqa: B023
+                held.clear()  # noqa: B023
+
+            for k, text in enumerate(texts if self.langs else []):
+                words = LETTERS.findall((text or "").lower())
+                for i in range(0, len(words), most):
+                    part = words[i : i + most]
+                    held.append((k, np.fromiter(map(numbers.__getitem__, part), np.int64, len(part))))
+                    if len(numbers) > most:
+                        settle()
+                        numbers, table_ = Numbers(), table_[:0]
+            settle()
+            yield [self.best(totals[k]) if k in totals else (UNKNOWN, 0.0) for k in range(len(texts))]
+
+    def best(self, total: np.ndarray) -> tuple[str, float]:
         best = int(np.argmax(total))  # the first of equals; langs are sorted
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -176,11 +224,13 @@ def identify(docs: DataFrame) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def compute(texts: list[str | None]) -> tuple:
-        found = [shared.value.predict(t) for t in texts]
-        return None, [x for x, _ in found], [s for _, s in found]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = tee(slices(batches, ["text"]))
+        for batch, found in zip(first, shared.value.predictions(x.column("text").to_pylist() for x in second), strict=True):
+            columns = [batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 
-    out = map_rows(narrow, ["text"], compute, {"lang_pred": "string", "score": "double"}, ["doc_id"])
+    out = narrow.mapInArrow(rows, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

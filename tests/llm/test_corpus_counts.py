@@ -249,6 +249,20 @@ def test_op13_against_brute_force(spark, monkeypatch, entries):
         assert got[k][1] == pytest.approx(score, abs=1e-4) and (got[k][0] == lang or abs(score - 0.5) < 1e-3), k
 
 
+def test_op13_each_word_is_looked_up_once(monkeypatch):
+    """A word's logarithms are found once for all texts of a task; a table that is full is begun anew, with the same results."""
+    logs = {0: np.log([[0.5, 0.1], [0.1, 0.6]]), 1: np.log([[0.3, 0.2]])}
+    model = language_id.Model(["a", "b"], {0: {"one": 0, "two": 1}, 1: {"x": 0}}, logs, np.log([0.5, 0.5]))
+    texts = [["one two xyx", None, "one one 7"], ["", "two xyx qqq", "One"]]
+    looked, of_words = [], language_id.Model.of_words
+    monkeypatch.setattr(language_id.Model, "of_words", lambda self, words: looked.extend(words) or of_words(self, words))
+    found = list(model.predictions(texts))
+    assert sorted(looked) == ["one", "qqq", "two", "xyx"] and found[0][1] == found[1][0] == ("und", 0.0)
+    assert found[0][2] == ("a", pytest.approx(0.25 / 0.26)) and found[1][1] == ("b", pytest.approx(0.12 / (0.12 + 0.03)))
+    monkeypatch.setattr(language_id, "REMEMBERED", 1)
+    assert [[lang for lang, _ in x] for x in model.predictions(texts)] == [[lang for lang, _ in x] for x in found]
+
+
 def test_op13_held_out_accuracy(spark):
     out = queries.QUERIES["op13_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(out) > 30 and (out.lang == out.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
