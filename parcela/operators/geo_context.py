@@ -3,7 +3,8 @@
 All layers, nested road classes and radii are met in one grid over metres east and north. Listings of one place are
 one location. A location posts itself once for every radius, points stand in the cell of that width and the eight
 around. For the nearest point of each layer a location looks at the nine cells around it; the layers whose nearest
-point may lie further off look again in cells four times as wide, all layers in the same pass, until none is left.
+point may lie further off look again in cells four times as wide, all layers in the same pass, until none is left; a
+layer's points are met by those alone that still look for it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from parcela.functions.geo import access, utm35
 from parcela.operators.scores import family_home, precision
-from parcela.operators.state import aggregate, attach, durable, fold_medians
+from parcela.operators.state import aggregate, attach, counted_medians, durable, learned
 
 # Tags of each layer of points, classes and tags of the nested road layers.
 SCHOOLS = ("school", "kindergarten", "college")
@@ -92,26 +93,24 @@ def counted(places: DataFrame, points: DataFrame, wanted: Mapping[str, tuple[str
 
 def nearest_of_layers(places: DataFrame, points: DataFrame, layers: Sequence[str]) -> DataFrame:
     """(x, y, layer, nearest) for every place and each of the layers that has a point at all."""
-    points = durable(points.select("px", "py", F.array_intersect("layers", F.array(*map(F.lit, layers))).alias("layers")).where(F.size("layers") > 0).distinct())
-    there = [r[0] for r in points.select(F.explode("layers").alias("layer")).distinct().collect()]  # names of layers, a few
+    points = durable(points.select("px", "py", F.explode(F.array_intersect("layers", F.array(*map(F.lit, layers)))).alias("layer")).distinct())
+    there = [r[0] for r in points.select("layer").distinct().collect()]  # names of layers, a few
     if not there:
         return places.select("x", "y", F.lit(None).cast("string").alias("layer"), F.lit(None).cast("double").alias("nearest")).where("false")
     ends = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
     own = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     span = 0.0 if own[0] is None else max(max(ends[1], own[1]) - min(ends[0], own[0]), max(ends[3], own[3]) - min(ends[2], own[2]))
-    left, width, done = places.withColumn("open", F.array(*map(F.lit, sorted(there)))), FIRST_CELL, None
+    left, width, done = places.select("x", "y", F.explode(F.array(*map(F.lit, sorted(there)))).alias("layer")), FIRST_CELL, None
     while True:
         last = width > span  # the nine cells hold everything
-        around = left.withColumn("c", F.explode(cells_around(F.col("x"), F.col("y"), F.lit(width)))).select("x", "y", "open", "c.*")
+        around = left.withColumn("c", F.explode(cells_around(F.col("x"), F.col("y"), F.lit(width)))).select("x", "y", "layer", "c.*")
         standing = points.withColumns({"cx": F.floor(F.col("px") / width), "cy": F.floor(F.col("py") / width)})
-        met = around.join(standing, ["cx", "cy"]).withColumn("layer", F.explode(F.array_intersect("open", "layers")))
-        found = aggregate(met, ["x", "y", "layer"], nearest=F.min(distance("x", "y")))
+        found = aggregate(around.join(standing, ["layer", "cx", "cy"]), ["x", "y", "layer"], nearest=F.min(distance("x", "y")))
         found = durable(found if last else found.where(F.col("nearest") <= width))  # what lies beyond may be outside the nine cells
         done = found if done is None else done.unionAll(found)
         if last:
             return done
-        settled = aggregate(found, ["x", "y"], _got=F.collect_set("layer"))
-        left = durable(left.join(settled, ["x", "y"], "left").withColumn("open", F.array_except("open", F.coalesce("_got", F.array().cast("array<string>")))).drop("_got").where(F.size("open") > 0))
+        left = durable(left.join(found, ["x", "y", "layer"], "left_anti"))
         if left.isEmpty():
             return done
         width *= 4
@@ -119,16 +118,26 @@ def nearest_of_layers(places: DataFrame, points: DataFrame, layers: Sequence[str
 
 def surroundings(listings: DataFrame, pois: DataFrame, roads: DataFrame, coast: DataFrame) -> DataFrame:
     """listings with x, y, every distance and every count; distances of listings without a place, and to layers without a point, are null."""
+    df = located(listings)
+    out = attach(df, learned(context_of_places(df, pois, roads, coast)), ["x", "y"])
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in COUNTS})
+
+
+def located(listings: DataFrame) -> DataFrame:
+    """listings with x and y, null where latitude or longitude is."""
     known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     x, y = utm35(F.col("lat"), F.col("lon"))
-    df = listings.withColumns({"x": F.when(known, x), "y": F.when(known, y)})
-    places = durable(df.where(known).select("x", "y").distinct())
+    return listings.withColumns({"x": F.when(known, x), "y": F.when(known, y)})
+
+
+def context_of_places(df: DataFrame, pois: DataFrame, roads: DataFrame, coast: DataFrame) -> DataFrame:
+    """(x, y), distances and counts of every place that df has; counts of none are null."""
+    places = durable(df.where("x is not null").select("x", "y").distinct())
     points = poi_layers(pois).unionAll(road_layers(roads)).unionAll(placed(coast, {"sea": F.lit(True)}))
     near, count = nearest_of_layers(places, points, sorted(set(DISTANCES.values()))), counted(places, points, COUNTS)
     near = aggregate(near, ["x", "y"], **{c: F.min(F.when(F.col("layer") == layer, F.col("nearest"))) for c, layer in DISTANCES.items()})
     count = aggregate(count, ["x", "y"], **{c: F.max(F.when(F.col("name") == c, F.col("n"))) for c in COUNTS})
-    out = attach(attach(df, near, ["x", "y"]), count, ["x", "y"])
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in COUNTS})
+    return attach(attach(places, near, ["x", "y"]), count, ["x", "y"])
 
 
 def geo_context(listings: DataFrame, pois: DataFrame, roads: DataFrame, coast: DataFrame, folds: int, county: str) -> DataFrame:
@@ -136,7 +145,9 @@ def geo_context(listings: DataFrame, pois: DataFrame, roads: DataFrame, coast: D
 
     Distances that a listing lacks are the medians of the other folds' listings; scores and products of what is
     unknown are 0. Products are taken for the named county alone."""
-    df = durable(surroundings(listings, pois, roads, coast))
+    rows = durable(located(listings))
+    context = learned(context_of_places(rows, pois, roads, coast))
+    df = attach(rows, context, ["x", "y"]).withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in COUNTS})
     # named with a mark, so that a later column never meets an earlier one of its name
     known = F.col("x").isNotNull()
     exact = precision(F.col("location_precision"))
@@ -171,9 +182,13 @@ def geo_context(listings: DataFrame, pois: DataFrame, roads: DataFrame, coast: D
         "bsk_road_access_x_large_home": here(near("major_road", 1200.0) * large), "bsk_coastal_x_large_home": here(coastal * large),
         "bsk_coastal_x_geo_cluster": here(coastal / (1.0 + number("distance_to_geo_cluster_center_m") / 500.0)), "bsk_coastal_x_room_4p1": here(coastal * flag(rooms.isin("4+1", "5+1"))),
     })
-    long = df.select("fold", *DISTANCES).unpivot(["fold"], list(DISTANCES), "name", "value")
-    medians = aggregate(fold_medians(long, ["name"], "value", folds), ["fold"], **{f"_m_{c}": F.max(F.when(F.col("name") == c, F.col("median"))) for c in DISTANCES})
-    df = attach(df, medians, ["fold"])
+    # listings of one place have the same distances: places are counted, not listings
+    folded = ("all", *(f"f{i}" for i in range(folds)))
+    counts = aggregate(rows.where("x is not null"), ["x", "y"], all=F.count("*"), **{f"f{i}": F.count_if(F.col("fold") == i) for i in range(folds)})
+    long = attach(counts, context, ["x", "y"]).select(*folded, *DISTANCES).unpivot(list(folded), list(DISTANCES), "name", "value").where("value is not null")
+    counts = aggregate(long, ["name", "value"], **{c: F.sum(c) for c in folded})
+    medians = aggregate(counted_medians(counts, ["name"], "value", folds), ["fold"], **{f"_m_{c}": F.max(F.when(F.col("name") == c, F.col("median"))) for c in DISTANCES})
+    df = attach(df, learned(medians), ["fold"])
     instead = {c: F.coalesce(F.col(f"_m_{c}"), F.lit(UNKNOWN_DISTANCE)) for c in DISTANCES}
     scores = [c for c in df.columns if c.endswith("_score") and c in {*parts, "location_context_score"}]
     return df.withColumns({

@@ -43,7 +43,8 @@ def around(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enc_geo_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = C.geo_context(around(spark, sf_dir), *(S.view(spark, sf_dir, v) for v in (POIS, ROADS, COAST)), FOLDS, COUNTY)
+    used = ["classified_id", "fold", "county", "room_count", "gross_m2", "view_sea", "near_sea_zero", "site_inside", "location_quality_score", "is_large_home", "distance_to_geo_cluster_center_m", "location_precision", "lat", "lon"]
+    out = C.geo_context(around(spark, sf_dir).select(*used), *(S.view(spark, sf_dir, v) for v in (POIS, ROADS, COAST)), FOLDS, COUNTY)
     return rounded(out.select("classified_id", *C.FEATURES), 4, *C.FEATURES)
 
 
