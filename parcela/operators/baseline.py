@@ -1,7 +1,7 @@
 """What listings of a place usually cost: medians and means of nested and crossing groups, learned from other folds.
 
-All groups' values are counted once, by the narrowest group, value and fold; every level is a sum of these counts. The
-levels are ordered together, in one pass over range partitions, whatever their number and the number of folds.
+Numbers and sums are taken once, by the narrowest group and fold; every level is a sum of these. Each level's values are
+ordered where its groups lie, those of all rows over range partitions, so that no value is copied for a level or a fold.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcela.functions.text import ratio
-from parcela.operators.state import aggregate, attach, counted_medians, durable, fold_counts
+from parcela.operators.state import aggregate, attach, durable, fold_medians, group_fold_medians, learned
 
 KEYS = ("county", "district", "m2_group", "room_count")
 # The levels from narrow to wide with their codes and least rows, and the weights of the trend.
@@ -44,13 +44,20 @@ def at_levels(df: DataFrame, levels: Mapping[str, Sequence[str]], keep: Sequence
 def group_states(df: DataFrame, target: str, levels: Mapping[str, Sequence[str]], folds: int) -> DataFrame:
     """(_level, keys, fold, median, mean, n): statistics of the positive targets of all other folds; level '' is all rows."""
     by = ["_level", *(f"_{c}" for c in KEYS)]
-    folded = [f"f{i}" for i in range(folds)]
-    counts = fold_counts(named(df).where(F.col(target) > 0), [f"_{c}" for c in KEYS], target, folds)
-    wide = at_levels(counts, {**levels, "": ()}, [target, "all", *folded])
-    wide = durable(aggregate(wide, [*by, target], **{c: F.sum(c) for c in ("all", *folded)}))
-    sums = aggregate(wide, by, _s=F.sum(F.col(target) * F.col("all")), _n=F.sum("all"), **{f"_s{i}": F.sum(F.col(target) * F.col(f"f{i}")) for i in range(folds)}, **{f"_n{i}": F.sum(f"f{i}") for i in range(folds)})
+    rows = named(df).where(F.col(target) > 0)
+    own = [F.col("fold") == i for i in range(folds)]
+    narrow = aggregate(rows, [f"_{c}" for c in KEYS], _s=F.sum(target), _n=F.count(target), **{f"_s{i}": F.sum(F.when(c, F.col(target)).otherwise(0.0)) for i, c in enumerate(own)}, **{f"_n{i}": F.count_if(c) for i, c in enumerate(own)})
+    parts = ["_s", "_n", *(f"_{x}{i}" for x in "sn" for i in range(folds))]
+    sums = aggregate(at_levels(narrow, {**levels, "": ()}, parts), by, **{c: F.sum(c) for c in parts})
     means = F.explode(F.array(*(F.struct(F.lit(i).alias("fold"), ratio(F.col("_s") - F.col(f"_s{i}"), F.col("_n") - F.col(f"_n{i}")).alias("mean")) for i in range(folds)))).alias("x")
-    return attach(counted_medians(wide, by, target, folds), sums.select(*by, means).select(*by, "x.*"), [*by, "fold"])
+    medians = None
+    for name, keys in {**levels, "": ()}.items():
+        own_keys = [f"_{c}" for c in keys]
+        broad = min((k for k in levels.values() if len(k) > 1 and set(k) <= set(keys)), key=len, default=keys)
+        found = group_fold_medians(rows, own_keys, target, folds, [f"_{c}" for c in broad]) if keys else fold_medians(rows, [], target, folds)
+        found = found.select(F.lit(name).alias("_level"), *(F.col(f"_{c}") if c in keys else F.lit("").alias(f"_{c}") for c in KEYS), "fold", "median", "n")
+        medians = found if medians is None else medians.unionAll(found)
+    return attach(medians, sums.select(*by, means).select(*by, "x.*"), [*by, "fold"])
 
 
 def places(df: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def market_baseline(df: DataFrame, target: str, folds: int, trend: str | None =
 
     A trend weighs more where fewer rows than a medium level needs stand behind the median. The medians are learned
     from `learn`, or from df itself."""
-    state = durable(group_states(df if learn is None else learn, target, {str(k): keys for k, (keys, _) in LEVELS.items()}, folds))
+    state = durable(group_states(df if learn is None else learn, target, {str(k): keys for k, (keys, _) in LEVELS.items()}, folds))  # some thousand rows
     return with_baseline(df, state, trend, least)
 
 
@@ -77,7 +84,7 @@ def with_baseline(df: DataFrame, state: DataFrame, trend: str | None = None, lea
     found = asked.join(state.where((F.col("_level") != "") & (F.col("n") >= need)), ["_level", *by, "fold"])
     best = aggregate(found, ["_of"], _b=F.max_by(F.struct("median", "n", F.col("_level").cast("double").alias("code")), F.col("_level").cast("int")))
     whole = state.where("_level = ''").select("fold", F.col("median").alias("_all"))
-    out = attach(attach(named(df), best.select("_of.*", "_b"), [*by, "fold"]), whole, ["fold"])
+    out = attach(attach(named(df), learned(best.select("_of.*", "_b")), [*by, "fold"]), F.broadcast(whole), ["fold"])
     base, count = F.coalesce("_b.median", "_all", F.lit(1.0)), F.coalesce(F.col("_b.n").cast("double"), F.lit(0.0))
     t = F.lit(None).cast("double") if trend is None else F.when(F.col(trend) > 0, F.col(trend))
     w = F.when(count < least["medium"], TREND_FEW).otherwise(TREND_ENOUGH)
