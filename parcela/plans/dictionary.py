@@ -42,7 +42,7 @@ def agg_site_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, t = F.col("partkey") % 6, F.initcap("title")
     heading = F.when(k == 0, F.concat(t, F.lit(" Sitesi"))).when(k == 1, F.concat(F.lit("Yeni daire "), t, F.lit(" RESIDENCE, 3+1"))).when(k == 2, F.concat(F.lit("in \""), t, F.lit("\" and 'Kat'"))).when(k == 3, "Merkez Sitesi").otherwise(F.col("title"))
     address = F.when(k == 4, F.concat(t, F.lit(" PROJE | "), t, F.lit("  SITESINDE")))
-    df = predicted(spark, sf_dir).withColumns({"heading": heading, "address": address, "site": F.when(F.col("suppkey") % 3 == 0, t).when(F.col("suppkey") % 3 == 1, "Yok"), "residual": F.col("pred") - F.col("unit_price"), "decile": F.floor(F.col("gross_m2") / 30)})
+    df = predicted(spark, sf_dir, "partkey", "suppkey", "title", "gross_m2").withColumns({"heading": heading, "address": address, "site": F.when(F.col("suppkey") % 3 == 0, t).when(F.col("suppkey") % 3 == 1, "Yok"), "residual": F.col("pred") - F.col("unit_price"), "decile": F.floor(F.col("gross_m2") / 30)})
     found = D.mentions(df, "classified_id", "site", ["heading", "address"])
     out = D.mentioned_sites(found, df, "classified_id", "decile", "residual", "unit_price", "pred", "heading")
     return rounded(out, 5, "mean_residual", "mean_actual", "mean_pred", "mean_confidence")
